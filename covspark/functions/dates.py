@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date, datetime
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The provider's market zone and its daily publication hours.
@@ -19,26 +19,30 @@ ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 def iso_date(c: Column, today: date | None = None) -> Column:
     """A ten-character ISO date, or ``today`` when allowed; anything else is null."""
-    parsed = F.when(c.rlike(ISO_DATE), F.try_to_date(c, "yyyy-MM-dd"))
+    parsed = F.when(c.rlike(ISO_DATE), c.try_cast("date"))
     return parsed if today is None else F.when(c == "today", F.lit(today)).otherwise(parsed)
 
 
-def parse_range(c: Column, today: date) -> Column:
-    """``start:end`` text as struct(start, end, status); status is null when valid."""
-    sides = F.split(c, ":", -1)
-    shaped = F.coalesce(F.size(sides) == 2, F.lit(False))
-    start = F.when(shaped, iso_date(F.get(sides, F.lit(0)), today))
-    end = F.when(shaped, iso_date(F.get(sides, F.lit(1)), today))
-    status = (
-        F.when(~shaped, "not start:end")
-        .when(start.isNull() | end.isNull(), "invalid date")
-        .when(start >= end, "empty or reversed")
+def parse_ranges(df: DataFrame, name: str, today: date) -> DataFrame:
+    """Adds start, end and status for ``start:end`` text; status is null when valid."""
+    staged = (
+        df.withColumn("_sides", F.split(name, ":", -1))
+        .withColumn("_ok", F.coalesce(F.size("_sides") == 2, F.lit(False)))
+        .withColumns({f"_{i}": F.when(F.col("_ok"), F.get("_sides", F.lit(i))) for i in (0, 1)})
+        .withColumns({f"_day{i}": iso_date(F.col(f"_{i}"), today) for i in (0, 1)})
+        .withColumn(
+            "status",
+            F.when(~F.col("_ok"), "not start:end")
+            .when(F.col("_day0").isNull() | F.col("_day1").isNull(), "invalid date")
+            .when(F.col("_day0") >= F.col("_day1"), "empty or reversed"),
+        )
     )
-    valid = status.isNull()
-    return F.struct(
-        F.when(valid, start).alias("start"),
-        F.when(valid, end).alias("end"),
-        status.alias("status"),
+    valid = F.col("status").isNull()
+    return staged.select(
+        *df.columns,
+        F.when(valid, F.col("_day0")).alias("start"),
+        F.when(valid, F.col("_day1")).alias("end"),
+        "status",
     )
 
 

@@ -16,8 +16,8 @@ def blank(c: Column) -> Column:
 
 def provider_date(c: Column) -> Column:
     """The first eight characters as ``YYYYMMDD``."""
-    head = F.substring(c, 1, 8)
-    return F.when(head.rlike("^[0-9]{8}$"), F.try_to_date(head, "yyyyMMdd"))
+    iso = F.concat_ws("-", F.substring(c, 1, 4), F.substring(c, 5, 2), F.substring(c, 7, 2))
+    return F.when(c.rlike("^[0-9]{8}"), iso.try_cast("date"))
 
 
 def provider_double(c: Column) -> Column:
@@ -44,12 +44,12 @@ def convert(c: Column, kind: T.DataType) -> Column:
     return c
 
 
-def invalid(c: Column, field: T.StructField) -> Column:
-    """Why this text cannot fill the field, or null."""
+def invalid(text: Column, value: Column, field: T.StructField) -> Column:
+    """Why this text, converted to ``value``, cannot fill the field; null when it can."""
     if isinstance(field.dataType, T.BooleanType):
         return F.lit(None).cast("string")
-    empty = c.isNull() if isinstance(field.dataType, T.StringType) else blank(c)
-    bad = F.when(~empty & convert(c, field.dataType).isNull(), F.lit(f"{field.name}: bad value"))
+    empty = text.isNull() if isinstance(field.dataType, T.StringType) else blank(text)
+    bad = F.when(~empty & value.isNull(), F.lit(f"{field.name}: bad value"))
     if field.nullable:
         return bad
     return F.when(empty, F.lit(f"{field.name}: required")).otherwise(bad)

@@ -11,7 +11,7 @@ COALESCING = ("complete", "refresh")
 
 def canonical_list(c: Column) -> Column:
     """Operand order and repeats do not matter."""
-    return F.array_sort(F.array_distinct(c))
+    return F.sort_array(F.array_distinct(c))
 
 
 def request_key(dataset: Column, operation: Column, operands: dict[str, Column]) -> Column:

@@ -66,7 +66,7 @@ def union(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """Disjoint, non-touching intervals covering the same dates, in order per key."""
     per_key = deltas(intervals, keys).groupBy(*keys).agg(
         # at most one entry per civil date
-        F.array_sort(F.collect_list(F.struct("day", "step"))).alias("_edges")
+        F.sort_array(F.collect_list(F.struct("day", "step"))).alias("_edges")
     )
     none = F.lit(None).cast("date")
     state = F.struct(

@@ -1,18 +1,18 @@
 """Point-in-time membership. The snapshot's ``trade_date`` decides, so nothing looks ahead.
 
-The snapshot dates of an index are at most one per civil date, so they travel as one
-sorted array per index. Requests join that array by index and pick dates from it without
-multiplying rows; a hot index on the request side is an ordinary skewed join for AQE.
+As-of lookups run over distinct (index, date) points. An index has at most one point per
+civil date, so its window stays small however many rows or requests it has; the answers
+join back by equality.
 """
 
 from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covspark.functions.dates import month, next_month, previous_month
+from covspark.functions.dates import month, month_starts, next_month, previous_month
 from covspark.functions.selectors import PREFIX, parse_selector
 
 LATEST, RANGE_UNION = "latest", "range_union"
@@ -29,76 +29,109 @@ def latest_in_month(
     return kept.select(*order)
 
 
-def snapshots(weights: DataFrame) -> DataFrame:
-    """(index_code, dates): the sorted snapshot dates of every index."""
-    return weights.groupBy("index_code").agg(
-        F.array_sort(F.collect_set("trade_date")).alias("dates")
-    )
-
-
-def latest_before(dates: Column, day: Column) -> Column:
-    return F.array_max(F.filter(dates, lambda d: d < day))
+# order of equal dates: lookups strictly before a day, the snapshot, lookups up to the day
+_BEFORE, _SNAPSHOT, _UP_TO = 0, 1, 2
 
 
-def in_force(dates: Column, day: Column) -> Column:
-    """The snapshot in force on a day: the greatest date not after it."""
-    return F.array_max(F.filter(dates, lambda d: d <= day))
+def _look_up(points: DataFrame, weights: DataFrame) -> DataFrame:
+    """Fill ``snapshot`` of distinct lookup points (index_code, day, turn)."""
+    both = (
+        points.union(weights.select("index_code", "trade_date", F.lit(_SNAPSHOT)))
+        .where("index_code is not null and day is not null")
+        .distinct()
+    )
+    so_far = Window.partitionBy("index_code").orderBy("day", "turn").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    given = F.when(F.col("turn") == _SNAPSHOT, F.col("day"))
+    return both.withColumn("snapshot", F.max(given).over(so_far)).where(
+        F.col("turn") != _SNAPSHOT
+    )
 
 
 def as_of(rows: DataFrame, weights: DataFrame, index: str, day: str) -> DataFrame:
     """Adds ``snapshot``, the date in force for each row's index and day."""
-    found = snapshots(weights).withColumnRenamed("index_code", index)
-    return (
-        rows.join(found, index, "left")
-        .withColumn("snapshot", in_force(F.col("dates"), F.col(day)))
-        .drop("dates")
+    points = rows.select(
+        F.col(index).alias("index_code"), F.col(day).alias("day"), F.lit(_UP_TO).alias("turn")
+    )
+    found = _look_up(points, weights).select(
+        F.col("index_code").alias(index), F.col("day").alias(day), "snapshot"
     )
+    return rows.join(found, [index, day], "left")
 
 
-def chosen_snapshots(requests: DataFrame, weights: DataFrame) -> DataFrame:
-    """requests(index_code, start, end, selection) plus ``chosen`` dates and ``status``.
+_REQUEST = ["index_code", "start", "end", "selection"]
 
-    ``latest`` takes the greatest snapshot before the end. ``range_union`` takes the one
-    in force at the start and every later one before the end.
-    """
-    joined = requests.join(snapshots(weights), "index_code", "left").withColumn(
-        "_usable", F.filter(F.coalesce("dates", F.array().cast("array<date>")), lambda d: d < F.col("end"))
-    )
-    first = in_force(F.col("_usable"), F.col("start"))
-    is_latest = F.col("selection") == LATEST
-    status = F.when(F.size("_usable") == 0, "no snapshot before end").when(
-        ~is_latest & first.isNull(), "no snapshot on or before start"
+
+def answers(requests: DataFrame, weights: DataFrame) -> DataFrame:
+    """Distinct requests with ``last`` (latest before end), ``first`` (in force at start)
+    and ``status``, which is null when the request can be answered."""
+    wanted = requests.select(*_REQUEST).distinct()
+    sides = F.explode(
+        F.array(
+            F.struct(F.col("start").alias("day"), F.lit(_UP_TO).alias("turn")),
+            F.struct(F.col("end").alias("day"), F.lit(_BEFORE).alias("turn")),
+        )
     )
-    chosen = F.when(is_latest, F.array(F.array_max("_usable"))).otherwise(
-        F.filter("_usable", lambda d: d >= first)
+    asked = wanted.select(*_REQUEST, sides.alias("at")).select(
+        *_REQUEST, F.col("at.day").alias("day"), F.col("at.turn").alias("turn")
     )
+    found = _look_up(asked.select("index_code", "day", "turn"), weights)
     return (
-        joined.withColumn("status", status)
-        .withColumn("chosen", F.when(F.col("status").isNull(), chosen))
-        .drop("dates", "_usable")
+        asked.join(found, ["index_code", "day", "turn"], "left")
+        .groupBy(*_REQUEST)
+        .agg(
+            F.max(F.when(F.col("turn") == _UP_TO, F.col("snapshot"))).alias("first"),
+            F.max(F.when(F.col("turn") == _BEFORE, F.col("snapshot"))).alias("last"),
+        )
+        .withColumn(
+            "status",
+            F.when(F.col("last").isNull(), "no snapshot before end").when(
+                (F.col("selection") != LATEST) & F.col("first").isNull(),
+                "no snapshot on or before start",
+            ),
+        )
     )
 
 
 def resolve(requests: DataFrame, weights: DataFrame, member: str = "con_code") -> DataFrame:
     """(index_code, start, end, selection, symbol): distinct members of every request.
 
-    Requests that cannot be answered yield no rows; see ``problems``.
+    ``latest`` takes the greatest snapshot before the end. ``range_union`` takes the one
+    in force at the start and every later one before the end. Requests that cannot be
+    answered yield no rows; see ``problems``.
     """
-    wanted = requests.select("index_code", "start", "end", "selection").distinct()
-    picked = chosen_snapshots(wanted, weights).select(
-        "index_code", "start", "end", "selection", F.explode("chosen").alias("trade_date")
+    is_latest = F.col("selection") == LATEST
+    one = F.when(is_latest, F.col("last")).otherwise(F.col("first"))
+    span = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+    spans = F.array(
+        span(one, F.date_add(one, 1)),
+        span(F.when(~is_latest, F.date_add("start", 1)), F.when(~is_latest, F.col("end"))),
+    )
+    picks = (
+        answers(requests, weights)
+        .where("status is null")
+        .select(*_REQUEST, F.explode(spans).alias("_span"))
+        .select(*_REQUEST, F.col("_span.low").alias("_low"), F.col("_span.high").alias("_high"))
+        .where("_low < _high")
+        .withColumn("_month", F.explode(month_starts(F.col("_low"), F.col("_high"))))
+    )
+    rows = weights.select(
+        "index_code",
+        "trade_date",
+        F.col(member).alias("symbol"),
+        month(F.col("trade_date")).alias("_month"),
     )
-    rows = weights.select("index_code", "trade_date", F.col(member).alias("symbol"))
     return (
-        picked.join(rows, ["index_code", "trade_date"])
-        .select("index_code", "start", "end", "selection", "symbol")
+        picks.join(rows, ["index_code", "_month"])
+        .where("trade_date >= _low and trade_date < _high")
+        .select(*_REQUEST, "symbol")
         .distinct()
     )
 
 
 def problems(requests: DataFrame, weights: DataFrame) -> DataFrame:
-    wanted = requests.select("index_code", "start", "end", "selection").distinct()
-    return chosen_snapshots(wanted, weights).where("status is not null").drop("chosen")
+    return answers(requests, weights).where("status is not null").select(*_REQUEST, "status")
 
 
 def in_range(weights: DataFrame, requests: DataFrame, member: str = "con_code") -> DataFrame:

@@ -88,14 +88,16 @@ def normalize(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Typed columns plus ``violations``, an array that is empty for a good row."""
     declared = {f.name: f for f in spec.schema}
     texts = [n for n in spec.provided if n in declared]
-    problems = [invalid(F.col(n), declared[n]) for n in texts]
+    others = [c for c in rows.columns if c not in texts and c != "ragged"]
+    # staged, so that every text is read and converted once
+    staged = rows.withColumnsRenamed({n: f"_text_{n}" for n in texts}).withColumns(
+        {n: convert(F.col(f"_text_{n}"), declared[n].dataType) for n in texts}
+    )
+    problems = [invalid(F.col(f"_text_{n}"), F.col(n), declared[n]) for n in texts]
     if "ragged" in rows.columns:
         problems.append(F.when(F.col("ragged"), F.lit("ragged item")))
-    others = [c for c in rows.columns if c not in texts and c != "ragged"]
-    return rows.select(
-        *others,
-        *[convert(F.col(n), declared[n].dataType).alias(n) for n in texts],
-        F.array_compact(F.array(*problems)).alias("violations"),
+    return staged.select(
+        *others, *texts, F.array_compact(F.array(*problems)).alias("violations")
     )
 
 

@@ -97,12 +97,14 @@ def weights(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as indexes, parts as constituents, ship dates as snapshot dates."""
     return (
         table(spark, sf, "lineitem")
-        .groupBy(
+        .groupBy("l_suppkey", "l_partkey", F.to_date("l_shipdate").alias("trade_date"))
+        .agg(F.max("l_quantity").alias("weight"))
+        .select(
             F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("index_code"),
             F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("con_code"),
-            F.to_date("l_shipdate").alias("trade_date"),
+            "trade_date",
+            "weight",
         )
-        .agg(F.max("l_quantity").alias("weight"))
     )
 
 

@@ -449,10 +449,8 @@ def parse_ranges(spark, sf):
         .when(p == "4-NOT SPECIFIED", F.concat(day, F.lit(":2024-01-20:x")))
         .otherwise(F.concat(day, F.lit(":"), F.date_add("o_orderdate", 3).cast("string")))
     )
-    parsed = data.orders(spark, sf).select(
-        "o_orderkey", dates.parse_range(text, date(2024, 1, 20)).alias("r")
-    )
-    return parsed.select("o_orderkey", "r.*")
+    rows = data.orders(spark, sf).select("o_orderkey", text.alias("text"))
+    return dates.parse_ranges(rows, "text", date(2024, 1, 20)).drop("text")
 
 
 @register("""
