@@ -37,7 +37,7 @@ from covspark.operators import coverage as cov
 from covspark.operators import mutate, validate
 from covspark.operators import query as relation
 from covspark.operators import sql as guarded
-from covspark.operators.mutate import COMPLETE, RANGE, Mutation
+from covspark.operators.mutate import COMPLETE, PRIMARY_KEYS, RANGE, Mutation
 from covspark.spec import COVERAGE_SCHEMA, DatasetSpec, check_name
 
 WHOLE = ""
@@ -329,8 +329,9 @@ class Dataset:
         """
         spec, key = self.spec, list(self.spec.primary_key)
         rows = self._read(folders, spec.schema)
+        own = {spec.partition_key, spec.time_field} <= set(key)
         if len(mutations) == 1 and (
-            mutations[0].kind != RANGE or {spec.partition_key, spec.time_field} <= set(key)
+            mutations[0].kind == PRIMARY_KEYS or (mutations[0].kind == RANGE and own)
         ):
             rows = mutations[0].rows
         validate.require_none(

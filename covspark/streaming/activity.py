@@ -49,15 +49,22 @@ def bursts(
     )
 
 
-def finished_bursts(events: DataFrame, time: str, by: str, order: list[str], gap_seconds: int) -> DataFrame:
-    """Bursts of a finished table, cut per user and day and joined up again."""
-    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {time})")
-    timed = events.withColumn("_us", micros)
+def elapsed(unit: str, time: str):
+    """Whole units since 1970, a number that never decreases along the time."""
+    return F.expr(f"timestampdiff({unit}, TIMESTAMP_NTZ'1970-01-01 00:00:00', {time})")
+
+
+def finished_bursts(
+    events: DataFrame, time: str, by: str, order: list[str], gap_seconds: int
+) -> DataFrame:
+    """Bursts of a finished table, cut per user and day (a busy user: minute) and joined up."""
+    timed = events.withColumn("_us", elapsed("MICROSECOND", time))
+    cut = ordered.split_hot(timed, [by], elapsed("DAY", time), elapsed("MINUTE", time))
     runs = ordered.runs(
-        timed,
+        cut,
         [by],
         order,
-        F.to_date(time),
+        F.col("bucket"),
         ["_us"],
         lambda previous, current: current["_us"] - previous["_us"] > gap_seconds * 1_000_000,
     )

@@ -44,8 +44,15 @@ ORDERS = DatasetSpec(
 )
 
 
-def events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(
+def within(df: DataFrame, time: str, time_range) -> DataFrame:
+    """The same half-open range on the raw timestamp, which the scan can use to skip."""
+    start, end = (F.lit(str(side)).cast("timestamp_ntz") for side in time_range)
+    return df.where((F.col(time) >= start) & (F.col(time) < end))
+
+
+def events(spark: SparkSession, sf: str, time_range=None) -> DataFrame:
+    raw = table(spark, sf, "events")
+    return (raw if time_range is None else within(raw, "ts", time_range)).select(
         "event_id", "user_id", F.to_date("ts").alias("day"), "event_type", "value"
     )
 
@@ -59,8 +66,9 @@ def event_days(spark: SparkSession, sf: str) -> DataFrame:
 EVENTS_SQL = "SELECT event_id, user_id, CAST(ts AS DATE) AS day, event_type, value FROM events"
 
 
-def orders(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select(
+def orders(spark: SparkSession, sf: str, time_range=None) -> DataFrame:
+    raw = table(spark, sf, "orders")
+    return (raw if time_range is None else within(raw, "o_orderdate", time_range)).select(
         "o_orderkey",
         "o_custkey",
         "o_orderstatus",

@@ -26,10 +26,9 @@ WHERE user_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89) AND day >= DATE '2024-01-08
 ORDER BY value DESC, event_id LIMIT 100""")
 def query_keys_range(spark, sf):
     """Keys, half-open range, projection, comparisons, order and limit with required coverage."""
-    rows = data.events(spark, sf)
     held = data.hull(spark, sf)
     return relation.query(
-        rows,
+        data.events(spark, sf, WEEK),
         data.EVENTS,
         keys=[1, 2, 3, 5, 8, 13, 21, 34, 55, 89],
         time_range=WEEK,
@@ -93,7 +92,7 @@ def query_key_table(spark, sf):
         F.col("c_custkey").alias("key")
     )
     return relation.query(
-        data.orders(spark, sf),
+        data.orders(spark, sf, ("1996-01-01", "1997-01-01")),
         data.ORDERS,
         keys=keys,
         time_range=("1996-01-01", "1997-01-01"),
@@ -108,7 +107,7 @@ ORDER BY event_id LIMIT 20""")
 def preview_rows(spark, sf):
     """Preview: primary-key order, twenty rows, partial coverage allowed."""
     return relation.preview(
-        data.events(spark, sf), data.EVENTS, keys=[7, 11], time_range=WEEK, allow_partial=True
+        data.events(spark, sf, WEEK), data.EVENTS, keys=[7, 11], time_range=WEEK, allow_partial=True
     )
 
 

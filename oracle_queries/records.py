@@ -5,7 +5,7 @@ from zoneinfo import ZoneInfo
 
 from pyspark.sql import functions as F
 
-from covspark.operators import logs
+from covspark.operators import logs, ordered
 from covspark.operators.mutate import Mutation
 from covspark.session import shared_folder
 from covspark.sources import export, jsonl
@@ -65,8 +65,11 @@ SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_t
 def log_runs(spark, sf):
     """Consecutive equal lines of a log collapse into one with a count."""
     e = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    cut = ordered.split_hot(
+        e, ["user_id"], activity.elapsed("DAY", "ts"), activity.elapsed("MINUTE", "ts")
+    )
     return logs.collapse_lines(
-        e, ["user_id"], ["ts", "event_id"], F.to_date("ts"), ["event_type"], "ts"
+        cut, ["user_id"], ["ts", "event_id"], F.col("bucket"), ["event_type"], "ts"
     ).drop("run")
 
 

@@ -606,6 +606,13 @@ def dry_run(spark, sf):
     return work.preview(data.hull(spark, sf, "click"), data.hull(spark, sf, "signup"), data.NOW, days)
 
 
+def _order_bucket():
+    """Non-decreasing along (date, key); the few priorities are large at any scale, so each
+    is cut per day and again per hundred million keys."""
+    ids = F.floor(F.col("o_orderkey") / 100_000_000)
+    return F.struct(F.col("o_orderdate").alias("day"), ids.alias("ids"))
+
+
 @register("""
 SELECT o_orderpriority, o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderpriority
   ORDER BY o_orderdate, o_orderkey) - 1) // 64 AS BIGINT) AS batch FROM orders""")
@@ -613,7 +620,7 @@ def checkpoint_batches(spark, sf):
     """Batches of 64 items in order, without putting a whole group on one task."""
     items = data.orders(spark, sf).select("o_orderpriority", "o_orderkey", "o_orderdate")
     return batches.by_count(
-        items, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], F.trunc("o_orderdate", "MM")
+        items, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], _order_bucket()
     ).select("o_orderpriority", "o_orderkey", "batch")
 
 
@@ -637,7 +644,7 @@ def checkpoint_batches_by_size(spark, sf):
         items,
         ["o_orderpriority"],
         ["o_orderdate", "o_orderkey"],
-        F.trunc("o_orderdate", "MM"),
+        _order_bucket(),
         "bytes",
         limit=6_000_000,
     ).select("o_orderpriority", "o_orderkey", "batch")
@@ -675,9 +682,12 @@ def coalesce_requests(spark, sf):
   (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS position FROM orders""")
 def positions(spark, sf):
     """Position in a group by way of month buckets."""
+    rows = data.orders(spark, sf).select("o_custkey", "o_orderkey", "o_orderdate")
+    fine = _order_bucket()
+    coarse = F.struct(F.trunc("o_orderdate", "YEAR").alias("day"), F.lit(0).cast("bigint").alias("ids"))
     return ordered.position(
-        data.orders(spark, sf).select("o_custkey", "o_orderkey", "o_orderdate"),
+        ordered.split_hot(rows, ["o_custkey"], coarse, fine),
         ["o_custkey"],
         ["o_orderdate", "o_orderkey"],
-        F.trunc("o_orderdate", "YEAR"),
+        F.col("bucket"),
     ).select("o_custkey", "o_orderkey", "position")

@@ -310,6 +310,11 @@ def test_hot_group_windows_match_plain_ones(spark):
             number += v != last
             last = v
             assert place[key, i] == at_ and run[key, i] == number
+    cut = ordered.split_hot(df, ["k"], F.lit(0), F.col("i"), hot_rows=100)
+    assert cut.where("k = 'hot'").select("bucket").distinct().count() > 100
+    assert rows(cut.where("k <> 'hot'").select("bucket").distinct()) == [(0,)]
+    again = ordered.position(cut, ["k"], ["i"], F.col("bucket"))
+    assert {(r["k"], r["i"]): r["position"] for r in again.collect()} == place
     best = ordered.top_n(df, ["k"], [F.col("i").desc()], 3, salts=4)
     for key in {k for k, _, _ in items}:
         want = sorted((i for k, i, _ in items if k == key), reverse=True)[:3]
