@@ -24,7 +24,7 @@ from datetime import date
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from covspark.errors import (
@@ -118,6 +118,7 @@ class Manifest:
     parts: dict[str, str]
     coverage: str | None
     batches: dict[str, int] = field(default_factory=dict)
+    metrics: dict[str, int] = field(default_factory=dict)
     layout: int = LAYOUT
 
 
@@ -205,6 +206,18 @@ class Dataset:
     def sql(self, text: str, limit: int | None = None) -> DataFrame:
         return guarded.run(self.scan(), text, limit)
 
+    def history(self) -> DataFrame:
+        """One row per publication: revision, id, mutations and rows written."""
+        self._ready()
+        kept = (
+            "revision bigint, publication_id string, "
+            "metrics struct<mutations: bigint, rows_written: bigint>"
+        )
+        read = self.spark.read.schema(kept).option("multiLine", True).option(
+            "pathGlobFilter", "[0-9]*.json"
+        )
+        return read.json(f"{self.path}/manifests").select("revision", "publication_id", "metrics.*")
+
     def storage_bytes(self) -> int:
         """Bytes the pinned revision refers to."""
         manifest = self._ready()
@@ -242,7 +255,8 @@ class Dataset:
         publication = uuid.uuid4().hex
         revision = (old.revision if old else 0) + 1
         home = f"rev={revision}-{publication}"
-        parts = self._write_data(mutations, home, dict(old.parts) if old else {})
+        written = Observation()
+        parts = self._write_data(mutations, home, dict(old.parts) if old else {}, written)
         held = None
         if spec.time_field:
             held = f"{home}/coverage"
@@ -258,6 +272,10 @@ class Dataset:
             parts=parts,
             coverage=held,
             batches=batches,
+            metrics={
+                "mutations": len(mutations),
+                "rows_written": written.get["rows"] if mutations else 0,
+            },
             **self._contract(),
         )
         target = f"{self.path}/manifests/{revision}.json"
@@ -268,7 +286,11 @@ class Dataset:
         return publication
 
     def _write_data(
-        self, mutations: Sequence[Mutation], home: str, parts: dict[str, str]
+        self,
+        mutations: Sequence[Mutation],
+        home: str,
+        parts: dict[str, str],
+        written: Observation,
     ) -> dict[str, str]:
         if not mutations:
             return parts
@@ -278,6 +300,7 @@ class Dataset:
         if not by_month:
             base = None if self.manifest is None or replaced else self.scan()
             result = mutate.apply(base, mutations, spec)
+            result = result.observe(written, F.count(F.lit(1)).alias("rows"))
             result.write.parquet(f"{self.path}/{target}")
             self._check_written(mutations, [target])
             return {WHOLE: target}
@@ -295,16 +318,17 @@ class Dataset:
             result.withColumn(MONTH, F.date_format(spec.time_field, "yyyy-MM"))
             .hint("rebalance", MONTH)
             .sortWithinPartitions(*order)
+            .observe(written, F.count(F.lit(1)).alias("rows"))
             .write.partitionBy(MONTH)
             .parquet(f"{self.path}/{target}")
         )
-        written = {
+        folders = {
             name.split("=", 1)[1]: f"{target}/{name}"
             for name in self._files.names(f"{self.path}/{target}")
             if name.startswith(f"{MONTH}=")
         }
-        self._check_written(mutations, sorted(written.values()))
-        return {**kept, **written}
+        self._check_written(mutations, sorted(folders.values()))
+        return {**kept, **folders}
 
     def _touched(self, mutations: Sequence[Mutation]) -> set[str]:
         """Months any mutation can change; civil time bounds how many there are."""

@@ -57,8 +57,8 @@ def events(spark: SparkSession, sf: str, time_range=None) -> DataFrame:
     )
 
 
-def event_days(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select(
+def event_days(spark: SparkSession, sf: str, time_range=None) -> DataFrame:
+    return events(spark, sf, time_range).select(
         F.col("user_id").cast("string").alias("user_id"), "day", "event_id", "event_type", "value"
     )
 

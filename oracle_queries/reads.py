@@ -24,9 +24,8 @@ SELECT event_id, user_id, CAST(day AS VARCHAR) AS day, value FROM ({EVENTS_SQL})
 WHERE user_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89) AND day >= DATE '2024-01-08'
   AND day < DATE '2024-01-15' AND event_type != 'error' AND value >= 5.0
 ORDER BY value DESC, event_id LIMIT 100""")
-def query_keys_range(spark, sf):
-    """Keys, half-open range, projection, comparisons, order and limit with required coverage."""
-    held = data.hull(spark, sf)
+def query_literal_keys(spark, sf):
+    """Keys, half-open range, projection, comparisons, order and limit."""
     return relation.query(
         data.events(spark, sf, WEEK),
         data.EVENTS,
@@ -36,7 +35,30 @@ def query_keys_range(spark, sf):
         filters=[("event_type", "!=", "error"), ("value", ">=", 5.0)],
         order_by=[("value", "desc"), "event_id"],
         limit=100,
+    )
+
+
+@register(f"""
+WITH held AS ({hull_sql()})
+SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, CAST(day AS VARCHAR) AS day, value FROM ({EVENTS_SQL})
+WHERE CAST(user_id AS VARCHAR) IN (SELECT key FROM held WHERE start <= DATE '2024-01-08' AND "end" >= DATE '2024-01-15')
+  AND day >= DATE '2024-01-08' AND day < DATE '2024-01-15' AND event_type != 'error' AND value >= 5.0
+ORDER BY value DESC, event_id LIMIT 100""")
+def query_keys_range(spark, sf):
+    """The flagship: every user covered for the week, with coverage required and checked."""
+    held = data.hull(spark, sf)
+    whole_week = held.where((F.col("start") <= F.lit(WEEK[0])) & (F.col("end") >= F.lit(WEEK[1])))
+    return relation.query(
+        data.event_days(spark, sf, WEEK),
+        data.EVENT_DAYS,
+        keys=whole_week.select("key"),
+        time_range=WEEK,
+        columns=["event_id", "user_id", "day", "value"],
+        filters=[("event_type", "!=", "error"), ("value", ">=", 5.0)],
+        order_by=[("value", "desc"), "event_id"],
+        limit=100,
         coverage=held,
+        require_coverage=True,
     )
 
 
@@ -161,6 +183,26 @@ def sql_guarded_rollup(spark, sf):
     )
 
 
+@register("""
+SELECT o_orderkey, lower(o_orderpriority) AS low, substr(o_orderpriority, 3) AS word, length(o_orderpriority) AS size,
+  CAST(floor(o_totalprice / 1000) AS BIGINT) AS thousands, abs(o_custkey - 500) AS away,
+  CAST(year(o_orderdate) AS INTEGER) AS y, coalesce(nullif(o_orderstatus, 'P'), 'none') AS state,
+  CASE WHEN o_totalprice > 250000 THEN 'big' ELSE 'small' END AS kind, o_orderpriority LIKE '%LOW' AS is_low
+FROM orders WHERE o_orderpriority LIKE '%-%' AND o_totalprice BETWEEN 1000 AND 400000""")
+def sql_guarded_functions(spark, sf):
+    """Scalar functions reachable through guarded SQL."""
+    return guarded.run(
+        data.orders(spark, sf),
+        "SELECT o_orderkey, lower(o_orderpriority) AS low, substr(o_orderpriority, 3) AS word, "
+        "CAST(length(o_orderpriority) AS BIGINT) AS size, CAST(floor(o_totalprice / 1000) AS BIGINT) AS thousands, "
+        "abs(o_custkey - 500) AS away, year(o_orderdate) AS y, "
+        "coalesce(nullif(o_orderstatus, 'P'), 'none') AS state, "
+        "CASE WHEN o_totalprice > 250000 THEN 'big' ELSE 'small' END AS kind, "
+        "o_orderpriority LIKE '%LOW' AS is_low "
+        "FROM data WHERE o_orderpriority LIKE '%-%' AND o_totalprice BETWEEN 1000 AND 400000",
+    )
+
+
 # validation
 
 

@@ -5,7 +5,8 @@ from zoneinfo import ZoneInfo
 
 from pyspark.sql import functions as F
 
-from covspark.operators import logs, ordered
+from covspark.operators import coverage as cov
+from covspark.operators import logs, ordered, status
 from covspark.operators.mutate import Mutation
 from covspark.session import shared_folder
 from covspark.sources import export, jsonl
@@ -314,6 +315,42 @@ def published_snapshot(spark, sf):
     return spark.read.parquet(f"{there}/data")
 
 
+@register(f"""WITH {_PUBLISHED} SELECT CAST(3 AS BIGINT) AS revision, 'ready' AS state,
+  CAST((SELECT count(DISTINCT user_id) FROM base) AS BIGINT) AS covered_keys,
+  CAST((SELECT min(day) FROM base) AS VARCHAR) AS covered_start, CAST((SELECT max(day) + 1 FROM base) AS VARCHAR) AS covered_end,
+  CAST((SELECT count(*) FROM base) + (SELECT count(*) FROM t0) + (SELECT count(*) FROM t) AS BIGINT) AS rows_written
+FROM (SELECT 1)""".replace("WITH base", "WITH t0 AS (SELECT user_id FROM events WHERE NOT EXISTS (SELECT 1 FROM ("
+  + hull_sql("purchase") + ") s WHERE s.key = CAST(events.user_id AS VARCHAR) AND CAST(ts AS DATE) >= s.start AND "
+  "CAST(ts AS DATE) < s.\"end\") UNION ALL SELECT user_id FROM events WHERE event_type = 'purchase'), base"))
+def published_status(spark, sf):
+    """State and coverage summary after three publications, and the rows they wrote."""
+    dataset = _published(spark, sf)
+    found = status.summary(dataset)
+    return dataset.history().agg(
+        F.max("revision").alias("revision"), F.sum("rows_written").alias("rows_written")
+    ).select(
+        "revision",
+        F.lit(found["state"]).alias("state"),
+        F.lit(found["covered_keys"]).cast("bigint").alias("covered_keys"),
+        F.lit(found["covered_start"]).alias("covered_start"),
+        F.lit(found["covered_end"]).alias("covered_end"),
+        "rows_written",
+    )
+
+
+@register(f"""WITH r AS ({hull_sql()}), c AS ({hull_sql('purchase')}),
+j AS (SELECT r.key, r.start AS s, r."end" AS e, c.start AS cs, c."end" AS ce FROM r LEFT JOIN c ON r.key = c.key)
+SELECT key, CAST(s AS VARCHAR) AS work_start, CAST(coalesce(cs, e) AS VARCHAR) AS work_end FROM j WHERE cs IS NULL OR s < cs
+UNION ALL SELECT key, CAST(ce AS VARCHAR), CAST(e AS VARCHAR) FROM j WHERE e > ce""")
+def resume_work(spark, sf):
+    """After a partial publication a rerun asks only for what committed coverage lacks."""
+    dataset = Dataset(spark, shared_folder(spark, "resume"), data.EVENT_DAYS)
+    bought = data.event_days(spark, sf).where("event_type = 'purchase'")
+    dataset.publish([Mutation.complete(bought)], data.hull(spark, sf, "purchase"))
+    todo = cov.continuity_gaps(data.hull(spark, sf), dataset.coverage())
+    return todo.select("key", "work_start", "work_end")
+
+
 _EXPORTED = """SELECT event_id, user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
   nullif(event_type, 'error') AS event_type, value FROM events"""
 
@@ -385,7 +422,24 @@ def _stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def _run(spark, stream, keys):
+@register("""
+WITH e AS (SELECT event_id, CAST(ts AS DATE) AS d, ts + INTERVAL 8 HOUR AS t FROM events),
+a AS (SELECT d, CASE WHEN d < CAST(t AS DATE) THEN 'after-window' WHEN hour(t) < 15 THEN 'before-window'
+  WHEN hour(t) < 17 THEN 'inside-window' ELSE 'after-window' END AS arrival FROM e)
+SELECT CAST(d AS VARCHAR) AS day, arrival, CAST(count(*) AS BIGINT) AS events FROM a GROUP BY 1, 2""")
+def stream_arrivals(spark, sf):
+    """Arrivals per day against its publication window, counted over a stream."""
+    rows = _stream(spark, sf).select(F.to_date("ts").alias("day"), "ts")
+    stream = (
+        activity.arrival_class(rows, "day", "ts")
+        .groupBy("day", "arrival")
+        .agg(F.count("*").alias("events"))
+    )
+    path = _run(spark, stream)
+    return sinks.latest(spark, path, ["day", "arrival"], stream.schema)
+
+
+def _run(spark, stream):
     path, checkpoint = shared_folder(spark, "stream"), shared_folder(spark, "state")
     sinks.write_batches(stream, path, checkpoint).awaitTermination()
     return path
@@ -396,7 +450,7 @@ def _run(spark, stream, keys):
 def stream_activity(spark, sf):
     """Hourly counts from a stream of event files."""
     stream = activity.per_bucket(_stream(spark, sf), "ts", "1 hour", delay="1 hour")
-    path = _run(spark, stream, ["bucket_start"])
+    path = _run(spark, stream)
     return sinks.latest(spark, path, ["bucket_start"], stream.schema)
 
 
@@ -406,7 +460,7 @@ FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events) GROUP BY user_
 def stream_coverage(spark, sf):
     """Running coverage and gap flag per user from a stream."""
     facts = _stream(spark, sf).select("user_id", F.to_date("ts").alias("day"))
-    path = _run(spark, live_coverage.track(facts, "user_id", "day"), ["key"])
+    path = _run(spark, live_coverage.track(facts, "user_id", "day"))
     return live_coverage.read(spark, path)
 
 
@@ -422,7 +476,7 @@ def stream_unread(spark, sf):
         F.when(kind == "view", (F.col("event_id") - 5).cast("string")).alias("reference"),
     )
     stream = live_events.unread_counts(log)
-    path = _run(spark, stream, ["event_id"])
+    path = _run(spark, stream)
     now = sinks.latest(spark, path, ["event_id"], stream.schema)
     return (
         now.where("severity is not null and not acknowledged")

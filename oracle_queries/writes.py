@@ -691,3 +691,115 @@ def positions(spark, sf):
         ["o_orderdate", "o_orderkey"],
         F.col("bucket"),
     ).select("o_custkey", "o_orderkey", "position")
+
+
+@register("""SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def stored_selectors(spark, sf):
+    """The selector ``stored`` stands for every covered key."""
+    named = table(spark, sf, "customer").where("c_mktsegment in ('BUILDING', 'MACHINERY')").select(
+        F.when(F.col("c_mktsegment") == "MACHINERY", "stored")
+        .otherwise(F.col("c_custkey").cast("string"))
+        .alias("key")
+    )
+    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    held = cov.derive(urgent, "o_custkey", "o_orderdate")
+    return work.stored_or_explicit(named, held)
+
+
+@register("""
+SELECT o_orderkey, CAST(date_trunc('month', d) - INTERVAL 1 MONTH AS DATE)::VARCHAR AS start,
+  CAST(date_trunc('month', d + 44) + INTERVAL 1 MONTH AS DATE)::VARCHAR AS "end"
+FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+def membership_window(spark, sf):
+    """Membership dates needed for a range."""
+    start, end = members.fetch_window(F.col("o_orderdate"), F.date_add("o_orderdate", 45))
+    return data.orders(spark, sf).select("o_orderkey", start.alias("start"), end.alias("end"))
+
+
+@register(f"""WITH {_JOBS}, k2 AS (SELECT key, start, "end" FROM k UNION ALL SELECT * FROM jobs)
+SELECT key, CAST(min(start) AS VARCHAR) AS start, CAST(max("end") AS VARCHAR) AS "end" FROM k2 GROUP BY key""")
+def ingest_coverage(spark, sf):
+    """Coverage after per-key answers to the continuity work: never a hole."""
+    from datetime import datetime
+    from zoneinfo import ZoneInfo
+
+    now = datetime(2024, 3, 1, 12, 0, tzinfo=ZoneInfo("Asia/Shanghai"))
+    jobs = _jobs(spark, sf)
+    rows = ingest.demanded_rows(data.event_days(spark, sf), jobs, data.EVENT_DAYS)
+    return ingest.by_key(rows, jobs, data.EVENT_DAYS, data.hull(spark, sf, "signup"), now).coverage
+
+
+@register(f"""WITH {_JOBS},
+h AS (SELECT jobs.key, jobs.start, jobs."end", count(e.event_id) AS n FROM jobs LEFT JOIN events e
+  ON CAST(e.user_id AS VARCHAR) = jobs.key AND e.event_type = 'error' AND CAST(e.ts AS DATE) >= jobs.start
+  AND CAST(e.ts AS DATE) < jobs."end" GROUP BY 1, 2, 3)
+SELECT key, CAST(start AS VARCHAR) AS start, CAST("end" AS VARCHAR) AS "end", 'unresolved' AS status FROM h
+WHERE n = 0 AND "end" - 1 >= DATE '2024-01-20'""")
+def ingest_unresolved(spark, sf):
+    """Jobs without rows whose publication window has not passed."""
+    jobs = _jobs(spark, sf)
+    errors = data.event_days(spark, sf).where("event_type = 'error'")
+    plan = ingest.by_key(errors, jobs, data.EVENT_DAYS, data.hull(spark, sf, "signup"), data.NOW)
+    return plan.problems.select("key", "start", "end", "status")
+
+
+@register(f"""WITH days AS ({DAYS_SQL}), c AS ({CALENDAR_SQL}), {_JOBS},
+cut AS (SELECT CAST(ts AS DATE) AS d FROM events GROUP BY 1 HAVING count(*) >= 330),
+x AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(ts AS DATE) AS d, event_id FROM events)
+SELECT event_id FROM x WHERE d NOT IN (SELECT d FROM cut) AND EXISTS (SELECT 1 FROM jobs
+  WHERE jobs.key = x.key AND x.d >= jobs.start AND x.d < jobs."end")""")
+def ingest_by_date(spark, sf):
+    """Market-wide answers: saturated dates are set aside, the rest cut down to the demand."""
+    from dataclasses import replace
+
+    from covspark.operators import calendar as cal
+
+    spec = replace(data.EVENT_DAYS, capabilities={"row_limit": 330})
+    plan = ingest.by_date(
+        data.event_days(spark, sf),
+        _jobs(spark, sf),
+        cal.open_dates(data.calendar(spark, sf)),
+        spec,
+        data.hull(spark, sf, "signup"),
+        data.NOW,
+    )
+    return plan.mutation.rows.select("event_id")
+
+
+@register(f"""WITH {_JOBS}, cut AS (SELECT CAST(ts AS DATE) AS d FROM events GROUP BY 1 HAVING count(*) >= 330)
+SELECT DISTINCT jobs.key, CAST(cut.d AS VARCHAR) AS start, CAST(cut.d + 1 AS VARCHAR) AS "end" FROM jobs
+JOIN cut ON cut.d >= jobs.start AND cut.d < jobs."end" """)
+def ingest_refetch(spark, sf):
+    """Per-key requests for the dates whose market-wide answer was cut off."""
+    from dataclasses import replace
+
+    from covspark.operators import calendar as cal
+
+    spec = replace(data.EVENT_DAYS, capabilities={"row_limit": 330})
+    plan = ingest.by_date(
+        data.event_days(spark, sf),
+        _jobs(spark, sf),
+        cal.open_dates(data.calendar(spark, sf)),
+        spec,
+        data.hull(spark, sf, "signup"),
+        data.NOW,
+    )
+    return plan.refetch
+
+
+@register("""
+SELECT c_name, arg_max(c_nationkey, c_custkey) AS c_nationkey, arg_max(c_acctbal, c_custkey) AS c_acctbal FROM (
+  SELECT c_mktsegment AS c_name, c_nationkey, c_acctbal, c_custkey FROM customer) GROUP BY c_name""")
+def master_snapshot(spark, sf):
+    """Complete replacement: the union of all answers, a later row winning its key."""
+    spec = DatasetSpec(
+        "driver/master",
+        fields("c_name string!, c_nationkey int, c_acctbal double"),
+        primary_key=("c_name",),
+    )
+    rows = table(spark, sf, "customer").select(
+        F.col("c_mktsegment").alias("c_name"), "c_nationkey", "c_acctbal", "c_custkey"
+    )
+    plan = ingest.snapshot(rows, spec, ["c_nationkey"], ["c_custkey"], row_limit=10**9)
+    return mutate.apply(None, [plan.mutation], spec)

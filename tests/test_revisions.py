@@ -152,6 +152,13 @@ def test_several_mutations_in_one_commit(spark, published):
     assert rows(published.scan(), "ts_code", "close") == [("A", 11.0), ("B", 12.0)]
 
 
+def test_history(spark, published):
+    published.publish([Mutation.primary_keys(daily(spark, ("B", "07-03", 5)))], cover(spark))
+    got = rows(published.history(), "revision", "mutations", "rows_written")
+    assert got == [(1, 1, 3), (2, 1, 3)]
+    assert published.history().where(F.col("publication_id") == published.manifest.publication_id).count() == 1
+
+
 def test_repeated_batch_is_a_no_op(spark, published):
     args = ([Mutation.primary_keys(daily(spark, ("A", "07-01", 5)))], cover(spark))
     first = published.publish(*args, batch=("s", 0))
