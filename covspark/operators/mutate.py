@@ -115,9 +115,11 @@ def apply(base: DataFrame | None, mutations: Sequence[Mutation], spec: DatasetSp
             return upsert(base, only.rows, spec.primary_key)
         return replace_ranges(base, only.rows, only.scopes, spec.partition_key, spec.time_field)
 
+    # nothing can remove what the last mutation brings
+    last = mutations[-1].rows
     rows = reduce(
         DataFrame.unionByName,
-        [_tag(m.rows, i) for i, m in enumerate(mutations)],
+        [_tag(m.rows, i) for i, m in enumerate(mutations[:-1])],
         _tag(base, -1),
     )
     scopes = [
@@ -133,7 +135,7 @@ def apply(base: DataFrame | None, mutations: Sequence[Mutation], spec: DatasetSp
         spec,
         reduce(DataFrame.unionByName, scopes) if scopes else None,
         reduce(DataFrame.unionByName, upserts) if upserts else None,
-    )
+    ).unionByName(last)
 
 
 def check(mutation: Mutation, spec: DatasetSpec) -> None:

@@ -495,11 +495,13 @@ def stream_ingest(spark, sf):
         "user_id", F.date_format("day", "yyyyMMdd"), F.col("event_id").cast("string"), "event_type",
         F.col("value").cast("string"),
     )
+    # a busy user's day comes as several answers of at most a thousand rows
+    part = F.floor(F.col("event_id") / 1000).alias("part")
     landed = (
-        e.groupBy("user_id", "day")
+        e.groupBy("user_id", "day", part)
         .agg(F.collect_list(item).alias("items"))
         .select(
-            F.concat_ws("/", "user_id", "day").alias("request_id"),
+            F.concat_ws("/", "user_id", "day", "part").alias("request_id"),
             F.col("user_id").alias("key"),
             F.col("day").alias("start"),
             F.date_add("day", 1).alias("end"),
