@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -20,18 +20,27 @@ from covspark.spec import DatasetSpec
 
 @dataclass(frozen=True)
 class Ingest:
-    """What to publish. ``problems`` must be empty first; ``refetch`` is work still to do."""
+    """What to publish. ``problems`` and ``holes`` (keys whose coverage would not stay one
+    interval) must be empty first; ``refetch`` is work still to do."""
 
     mutation: Mutation
     coverage: DataFrame | None
     problems: DataFrame
     refetch: DataFrame | None = None
+    holes: DataFrame | None = None
 
     def publish(self, dataset, batch: tuple[str, int] | None = None) -> str:
-        validate.require_none(self.problems, f"{dataset.spec.name}: responses cannot be published")
+        name = dataset.spec.name
+        validate.require_none(self.problems, f"{name}: responses cannot be published")
+        if self.holes is not None:
+            validate.require_none(self.holes, f"{name}: coverage would have a hole")
         return dataset.publish([self.mutation], self.coverage, batch)
 
 
+def _holes(coverage: DataFrame, delta: DataFrame, on_gap: str) -> DataFrame | None:
+    return cov.holes(coverage, delta) if on_gap == "error" else None
+
+
 def by_key(
     rows: DataFrame,
     jobs: DataFrame,
@@ -65,6 +74,7 @@ def by_key(
         Mutation.ranges(rows.select(*spec.columns), scopes),
         cov.merge(coverage, promised, on_gap),
         problems,
+        holes=_holes(coverage, promised, on_gap),
     )
 
 
@@ -154,6 +164,7 @@ def by_date(
         cov.merge(coverage, jobs, on_gap),
         problems,
         refetch,
+        _holes(coverage, jobs, on_gap),
     )
 
 
@@ -183,6 +194,7 @@ def market(
         Mutation.ranges(rows.select(*spec.columns), scopes),
         cov.merge(coverage, scopes, on_gap),
         problems,
+        holes=_holes(coverage, scopes, on_gap),
     )
 
 
@@ -195,7 +207,7 @@ def calendar(
     ahead = jobs.where(F.col("end") > F.date_add(F.lit(today), 1)).select(
         "key", "start", "end", F.lit(0).cast("bigint").alias("days"), F.lit("future").alias("status")
     )
-    return Ingest(plan.mutation, plan.coverage, plan.problems.unionByName(ahead))
+    return replace(plan, problems=plan.problems.unionByName(ahead))
 
 
 def master_requests(spark) -> DataFrame:

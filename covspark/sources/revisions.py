@@ -96,6 +96,10 @@ class _Files:
             raise
         return True
 
+    def remove(self, path: str) -> None:
+        """Drop a folder no manifest has ever named."""
+        self._fs.delete(self.path(path), True)
+
     def make(self, path: str) -> None:
         self._fs.mkdirs(self.path(path))
 
@@ -192,7 +196,7 @@ class Dataset:
         """See ``operators.query.query``. Months outside the time range are not opened."""
         bounds = relation.time_bounds(options.get("time_range"))
         months = None
-        if bounds and self.spec.time_field:
+        if bounds and self.spec.time_field and WHOLE not in self._ready().parts:
             first, last = f"{bounds[0]:%Y-%m}", f"{date.fromordinal(bounds[1].toordinal() - 1):%Y-%m}"
             months = [m for m in self._ready().parts if first <= m <= last]
         held = None
@@ -256,13 +260,16 @@ class Dataset:
         revision = (old.revision if old else 0) + 1
         home = f"rev={revision}-{publication}"
         written = Observation()
-        parts = self._write_data(mutations, home, dict(old.parts) if old else {}, written)
-        held = None
-        if spec.time_field:
-            held = f"{home}/coverage"
-            coverage.select(
-                *[F.col(f.name).cast(f.dataType) for f in COVERAGE_SCHEMA]
-            ).write.parquet(f"{self.path}/{held}")
+        held = f"{home}/coverage" if spec.time_field else None
+        try:
+            parts = self._write_data(mutations, home, dict(old.parts) if old else {}, written)
+            if held:
+                coverage.select(
+                    *[F.col(f.name).cast(f.dataType) for f in COVERAGE_SCHEMA]
+                ).write.parquet(f"{self.path}/{held}")
+        except BaseException:
+            self._files.remove(f"{self.path}/{home}")
+            raise
         batches = dict(old.batches) if old else {}
         if batch:
             batches[batch[0]] = batch[1]
@@ -281,6 +288,7 @@ class Dataset:
         target = f"{self.path}/manifests/{revision}.json"
         self._files.make(f"{self.path}/manifests")
         if not self._files.put_new(target, json.dumps(asdict(manifest), indent=1)):
+            self._files.remove(f"{self.path}/{home}")
             raise PublishConflictError(f"{spec.name}: revision {revision} was published meanwhile")
         self.manifest = manifest
         return publication
@@ -342,7 +350,7 @@ class Dataset:
                     F.explode(month_starts(F.col("start"), F.col("end"))).alias("d")
                 ).select(F.date_format("d", "yyyy-MM").alias("m"))
                 days = days.union(spans)
-            found |= {row["m"] for row in days.distinct().collect()}
+            found |= {row["m"] for row in days.distinct().collect() if row["m"] is not None}
         return found
 
     def _check_written(self, mutations: Sequence[Mutation], folders: Sequence[str]) -> None:

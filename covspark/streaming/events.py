@@ -26,10 +26,11 @@ def with_acknowledgements(
     )
 
 
-def unread_counts(log: DataFrame) -> DataFrame:
-    """Running unread count per severity without a time bound, for ``complete`` mode.
+def read_state(log: DataFrame) -> DataFrame:
+    """Running state per event id without a time bound, for ``update`` mode.
 
-    Each record votes on one event id: +1 for the event, a mark for acknowledgements.
+    An event brings its severity and an acknowledgement its mark, in either order; unread
+    are the ids with a severity and no mark.
     """
     is_ack = F.col("kind") == "acknowledgement"
     return (

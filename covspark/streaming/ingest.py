@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from covspark.errors import ContractError
-from covspark.operators import coverage as cov
 from covspark.operators import validate
 from covspark.plans import ingest
 from covspark.sources import envelope
@@ -58,8 +57,6 @@ def publish_batch(
         plan = ingest.by_key(
             envelope.typed_rows(rows, spec), jobs, spec, held, now, on_gap
         )
-        if on_gap == "error":
-            validate.require_none(cov.holes(held, jobs), f"{spec.name}: coverage would have a hole")
         return plan.publish(dataset, (stream_id, batch_id))
     finally:
         batch.unpersist()

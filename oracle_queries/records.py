@@ -475,7 +475,7 @@ def stream_unread(spark, sf):
         F.when(kind == "error", "error").when(kind == "click", "warning").otherwise("info").alias("severity"),
         F.when(kind == "view", (F.col("event_id") - 5).cast("string")).alias("reference"),
     )
-    stream = live_events.unread_counts(log)
+    stream = live_events.read_state(log)
     path = _run(spark, stream)
     now = sinks.latest(spark, path, ["event_id"], stream.schema)
     return (

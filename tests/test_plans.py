@@ -219,6 +219,18 @@ def test_resume_needs_only_what_is_missing(spark, root):
     assert rows(dataset.refresh().coverage(), "key") == [("A",)]
 
 
+def test_a_hole_in_coverage_is_not_published(spark, root):
+    dataset = Dataset(spark, root, DAILY)
+    rows_, later = daily(spark, ("A", "07-13")), daily(spark, ("A", "07-16"))
+    ingest.market(rows_, DAILY, none(spark)).publish(dataset)
+    plan = ingest.market(later, DAILY, dataset.coverage())
+    assert rows(plan.holes) == [("A", 2)]
+    with pytest.raises(ContractError, match="hole"):
+        plan.publish(dataset)
+    ingest.market(later, DAILY, dataset.coverage(), "hull").publish(dataset)
+    assert rows(dataset.coverage(), "start", "end") == [(d("07-13"), d("07-17"))]
+
+
 # membership
 
 

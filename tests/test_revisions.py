@@ -114,14 +114,15 @@ def test_lost_race_is_refused(spark, root, published):
     assert sorted(n for n in names if not n.startswith(".")) == ["1.json", "2.json"]
 
 
-@pytest.mark.parametrize("problem", ["duplicate", "null", "scope", "coverage", "schema", "no coverage"])
+@pytest.mark.parametrize("problem", ["duplicate", "null", "no date", "scope", "coverage", "schema", "no coverage"])
 def test_a_failed_commit_changes_nothing(spark, root, published, problem):
     rows_ = daily(spark, ("A", "07-01", 5))
     held = cover(spark, ("A", "06-30", "07-02"))
     if problem == "duplicate":
         mutation = Mutation.primary_keys(daily(spark, ("A", "07-01", 5), ("A", "07-01", 6)))
-    elif problem == "null":
-        loose = spark.createDataFrame([(None, d("07-01"), 1.0)], "ts_code string, trade_date date, close double")
+    elif problem in ("null", "no date"):
+        row = (None, d("07-01"), 1.0) if problem == "null" else ("A", None, 1.0)
+        loose = spark.createDataFrame([row], "ts_code string, trade_date date, close double")
         mutation = Mutation.primary_keys(loose)
     elif problem == "scope":
         mutation = Mutation.range(rows_, "A", d("07-02"), d("07-03"))
@@ -137,6 +138,7 @@ def test_a_failed_commit_changes_nothing(spark, root, published, problem):
         published.publish([mutation], held)
     fresh = Dataset(spark, root, SPEC)
     assert fresh.manifest.revision == 1
+    assert len([n for n in os.listdir(fresh.path) if n.startswith("rev=")]) == 1
     assert rows(fresh.scan(), "close") == [(1.0,), (2.0,), (3.0,)]
     assert fresh.coverage().count() == 2
 
@@ -179,6 +181,19 @@ def test_no_time_field(spark, root):
     assert status.summary(dataset)["covered_keys"] is None
 
 
+def test_time_field_outside_the_key(spark, root):
+    spec = DatasetSpec("test/ids", fields("id long!, key string, day date"), ("id",), "key", None, "day")
+    frame = lambda *x: spark.createDataFrame([(i, k, d(t)) for i, k, t in x], spec.schema)
+    dataset = Dataset(spark, root, spec)
+    dataset.publish([Mutation.complete(frame((1, "A", "06-30"), (2, "A", "07-01")))], cover(spark))
+    # the same id moves to another month
+    dataset.publish([Mutation.primary_keys(frame((1, "B", "07-02")))], cover(spark))
+    got = dataset.query(time_range=("2026-07-01", "2026-08-01"), order_by=["id"])
+    assert rows(got, "id", "key") == [(1, "B"), (2, "A")]
+    with pytest.raises(ContractError):
+        dataset.publish([Mutation.range(frame((2, "C", "07-03")), "C", d("07-01"), d("07-09"))], cover(spark))
+
+
 def test_other_contract_is_refused(spark, root, published):
     other = DatasetSpec(SPEC.name, SPEC.schema, ("ts_code",), "ts_code", None, "trade_date")
     with pytest.raises(ContractError):

@@ -103,7 +103,7 @@ def test_unread_state(spark, root):
         [("e1", "task", "error", None), ("e2", "task", "info", None), ("k", "acknowledgement", "info", "e1")],
         "event_id string, kind string, severity string, reference string",
     )
-    stream = events.unread_counts(memory_stream(spark, root, log.repartition(3), "log"))
+    stream = events.read_state(memory_stream(spark, root, log.repartition(3), "log"))
     sinks.write_batches(stream, f"{root}/out", f"{root}/state").awaitTermination()
     got = sinks.latest(spark, f"{root}/out", ["event_id"], stream.schema)
     assert rows(got) == [("e1", "error", True), ("e2", "info", False)]
