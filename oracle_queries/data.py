@@ -116,6 +116,15 @@ def weights(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def holdings(spark: SparkSession, sf: str) -> DataFrame:
+    """The same memberships straight from the rows; repeats do not matter to lookups."""
+    return table(spark, sf, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("index_code"),
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("con_code"),
+        F.to_date("l_shipdate").alias("trade_date"),
+    )
+
+
 WEIGHTS_SQL = (
     "SELECT 'S' || l_suppkey AS index_code, 'P' || l_partkey AS con_code, "
     "CAST(l_shipdate AS DATE) AS trade_date, max(l_quantity) AS weight "

@@ -529,4 +529,4 @@ def status_by_group(spark, sf):
 @register("""SELECT 'S' || l_suppkey AS index_code, CAST(count(DISTINCT l_partkey) AS BIGINT) AS constituents
 FROM lineitem GROUP BY l_suppkey""")
 def members_per_index(spark, sf):
-    return status.members_per_index(data.weights(spark, sf))
+    return status.members_per_index(data.holdings(spark, sf))

@@ -266,7 +266,7 @@ SELECT p.index_code, CAST(p.e AS VARCHAR) AS "end", w.con_code AS symbol FROM p
   ON w.index_code = p.index_code AND w.trade_date = p.d""")
 def members_latest(spark, sf):
     """The greatest snapshot strictly before the end."""
-    found = members.resolve(_requests(spark, sf, "latest"), data.weights(spark, sf))
+    found = members.resolve(_requests(spark, sf, "latest"), data.holdings(spark, sf))
     return found.select("index_code", "end", "symbol")
 
 
@@ -281,7 +281,7 @@ SELECT DISTINCT p.index_code, CAST(p.s AS VARCHAR) AS start, w.con_code AS symbo
   ON w.index_code = p.index_code AND w.trade_date >= p.f AND w.trade_date < p.e""")
 def members_range_union(spark, sf):
     """The snapshot in force at the start and every later one before the end."""
-    found = members.resolve(_requests(spark, sf, "range_union"), data.weights(spark, sf))
+    found = members.resolve(_requests(spark, sf, "range_union"), data.holdings(spark, sf))
     return found.select("index_code", "start", "symbol")
 
 
@@ -290,7 +290,7 @@ SELECT index_code, CAST(s AS VARCHAR) AS start, CASE WHEN n = 0 THEN 'no snapsho
   ELSE 'no snapshot on or before start' END AS status FROM p WHERE n = 0 OR f IS NULL""")
 def members_problems(spark, sf):
     """Requests no snapshot can answer."""
-    found = members.problems(_requests(spark, sf, "range_union"), data.weights(spark, sf))
+    found = members.problems(_requests(spark, sf, "range_union"), data.holdings(spark, sf))
     return found.select("index_code", "start", "status")
 
 
@@ -298,7 +298,7 @@ def members_problems(spark, sf):
 SELECT DISTINCT r.index_code, w.con_code AS symbol FROM r JOIN w ON w.index_code = r.index_code
   AND w.trade_date >= r.s AND w.trade_date < r.e""")
 def members_in_range(spark, sf):
-    return members.in_range(data.weights(spark, sf), _requests(spark, sf, "range"))
+    return members.in_range(data.holdings(spark, sf), _requests(spark, sf, "range"))
 
 
 @register("""
@@ -379,7 +379,6 @@ def selector_expand(spark, sf):
             F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("con_code"),
             F.to_date("l_shipdate").alias("trade_date"),
         )
-        .distinct()
     )
     return members.expand_selectors(_selectors(spark, sf), w, (date(1998, 1, 1), date(1998, 1, 21)))
 
