@@ -225,7 +225,10 @@ def resolve_prefixes(operands: DataFrame, ids: DataFrame) -> DataFrame:
     lowered = operands.select("operand").distinct()
     valid = F.col("operand").rlike("^[0-9a-f]+$")
     usable = lowered.where(valid & (F.length("operand") >= MIN_PREFIX))
-    lengths = sorted(r[0] for r in usable.select(F.length("operand")).distinct().collect())
+    # prefix lengths in use: at most as many as the longest id has characters
+    longest = ids.agg(F.max(F.length("id")).alias("n")).first()["n"] or 0
+    used = usable.select(F.length("operand").alias("n")).where(F.col("n") <= longest).distinct()
+    lengths = sorted(row["n"] for row in used.collect())
     sizes = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
     candidates = (
         ids.select("id")

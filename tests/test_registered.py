@@ -22,6 +22,14 @@ def test_query(spark, name):
     assert found.startswith("ok"), found
 
 
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_no_nested_loops(spark, name):
+    if name.startswith(("stream_", "published_", "export_")):
+        pytest.skip("the plan only reads back what was written")
+    plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
 def test_every_query_has_sql():
     assert set(oracle_sql()) == set(queries())
 
