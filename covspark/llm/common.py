@@ -31,3 +31,10 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def vocabulary_path(name: str) -> str:
+    """Place of a public vocabulary file, installed alike on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covspark.llm import langid, quality
-from covspark.llm.common import bucket4, table
+from covspark.llm import langid, pieces, quality
+from covspark.llm.common import bucket4, table, vocabulary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,3 +40,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "class_distance", "word_distance",
     )
+
+
+@register()
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text in the piece vocabulary, and what they decode to, as digests."""
+    return pieces.encoded(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
