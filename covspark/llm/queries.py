@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covspark.llm import langid, pieces, quality
+from covspark.llm import langid, packing, pieces, quality
 from covspark.llm.common import bucket4, table, vocabulary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text in the piece vocabulary, and what they decode to, as digests."""
     return pieces.encoded(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
+@register()
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in sequences of 2048 ids."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=1)
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
