@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covspark.llm import langid, packing, pieces, quality
+from covspark.llm import langid, packing, pieces, quality, tokenfile
 from covspark.llm.common import bucket4, table, vocabulary_path
+from covspark.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,3 +56,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@register()
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as read back from range-coded token files in id order."""
+    at = shared_folder(spark, "token-files")
+    tokenfile.write(table(spark, sf_dir, "documents"), at, vocabulary_path("byte_bpe_50k.json"), end_id=2)
+    return tokenfile.read(spark, at).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
