@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covspark.llm import langid, packing, pieces, quality, tokenfile
+from covspark.llm import langid, packing, pieces, quality, tokenfile, warc
 from covspark.llm.common import bucket4, table, vocabulary_path
 from covspark.session import shared_folder
 
@@ -64,3 +64,21 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = shared_folder(spark, "token-files")
     tokenfile.write(table(spark, sf_dir, "documents"), at, vocabulary_path("byte_bpe_50k.json"), end_id=2)
     return tokenfile.read(spark, at).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register()
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata and conversion record of every page, by way of WARC files of the responses."""
+    at = shared_folder(spark, "warc")
+    warc.write(F.col("record"), warc.responses(table(spark, sf_dir, "pages")), at)
+    made = warc.derive(warc.read(spark, at))
+    return made.select(
+        F.col("source_id").cast("long").alias("page_id"),
+        "record_type",
+        "record_id",
+        "refers_to",
+        "target_uri",
+        F.col("headers")["WARC-Source-Payload-Digest"].alias("source_digest"),
+        F.col("headers")["WARC-Block-Digest"].alias("block_digest"),
+        F.octet_length("block").cast("long").alias("n_bytes"),
+    )
