@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covspark.llm import langid, packing, pieces, quality, tokenfile, warc
+from covspark.llm import langid, packing, pieces, quality, tokenfile, topk, warc
 from covspark.llm.common import bucket4, table, vocabulary_path
 from covspark.session import shared_folder
 
@@ -82,3 +82,25 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("headers")["WARC-Block-Digest"].alias("block_digest"),
         F.octet_length("block").cast("long").alias("n_bytes"),
     )
+
+
+@register(
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    s AS (
+      SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+             CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+    ),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+    SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+    """
+)
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every vector whose id is divisible by 20."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
