@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covspark.llm import langid, packing, pieces, quality, tokenfile, topk, warc
+from covspark.llm import langid, licences, packing, pieces, quality, tokenfile, topk, warc
 from covspark.llm.common import bucket4, table, vocabulary_path
 from covspark.session import shared_folder
 
@@ -104,3 +104,9 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest inner products of every vector whose id is divisible by 20."""
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@register()
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, from all its paragraphs."""
+    return licences.scan(table(spark, sf_dir, "documents")).drop("found")
