@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covspark.llm import langid, licences, packing, pieces, quality, tokenfile, topk, warc
+from covspark.llm import langid, licences, lines, packing, pieces, quality, tokenfile, topk, warc
 from covspark.llm.common import bucket4, table, vocabulary_path
 from covspark.session import shared_folder
 
@@ -110,3 +110,11 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence of every document, from all its paragraphs."""
     return licences.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+@register()
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and verdict of every line that isn't blank."""
+    return lines.classify(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("line").cast("long").alias("line"), "class_id", "class_doc", F.col("class_line").cast("long").alias("class_line"), "kept"
+    )
