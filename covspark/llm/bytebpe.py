@@ -16,7 +16,8 @@ import numpy as np
 
 STRETCH = re.compile(" *[^ ]+| +$")
 UNSAFE = re.compile(r"[^\S ] ")
-KEPT, LONGEST = 300_000, 64
+#: Stretches that a worker keeps, the first it meets; a longer one is not kept. Stretches encoded in one call.
+KEPT, LONGEST, AT_ONCE = 500_000, 64, 200
 
 
 class ByteBpe:
@@ -27,27 +28,48 @@ class ByteBpe:
         self.library = Tokenizer.from_file(path)
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        size = self.library.get_vocab_size()
+        # a letter of a byte-level token stands for one byte
+        self.bytes = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
         self.seen: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _joined(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches that start with a space and end without one, encoded as one text and cut by their bytes."""
+        text = "".join(stretches)
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.cumsum([len(s.encode()) for s in stretches])
+        upto = (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1) * 4
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        plain = [s for s in new if s[0] == " " and not s[-1].isspace() and not self.special.search(s)]
+        rest = list(set(new).difference(plain))
+        out = dict(zip(rest, self._ids(rest), strict=True))
+        for i in range(0, len(plain), AT_ONCE):
+            part = plain[i : i + AT_ONCE]
+            out.update(zip(part, self._joined(part), strict=True))
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null counts as empty."""
-        if len(self.seen) > KEPT:
-            self.seen.clear()
         seen = self.seen
         cut = [
             [] if not t else [t] if UNSAFE.search(t) or self.special.search(t) else STRETCH.findall(t) for t in texts
         ]
-        new = list({s for c in cut for s in c if s not in seen})
-        more: dict[str, bytes] = {}
-        for s, ids in zip(new, self._ids(new), strict=True):
-            (seen if len(s) <= LONGEST else more)[s] = ids
-        if more:
-            return [b"".join([seen[s] if s in seen else more[s] for s in c]) for c in cut]
-        return [b"".join([seen[s] for s in c]) for c in cut]
+        parts = [list(map(seen.get, c)) for c in cut]
+        lacking = [i for i, p in enumerate(parts) if None in p]
+        if lacking:
+            new = self._learn(list({s for i in lacking for s, p in zip(cut[i], parts[i], strict=True) if p is None}))
+            for i in lacking:
+                parts[i] = [new[s] if p is None else p for s, p in zip(cut[i], parts[i], strict=True)]
+            if len(seen) < KEPT:
+                seen.update((s, ids) for s, ids in new.items() if len(s) <= LONGEST)
+        return [b"".join(p) for p in parts]
 
 
 @lru_cache(maxsize=2)
