@@ -6,8 +6,9 @@ the next such place is encoded by itself, and equal stretches once in a worker:
 symbols wait in an agenda ordered by score, then place; the best pair still standing is merged
 and its new neighbours enter. What is left and unknown becomes its UTF-8 bytes.
 
-Each new stretch's ids are compared with the library's in the same Arrow batch, and whole texts
-are where a stretch can't be given to the library alone; a difference fails the job.
+Each new stretch's ids are compared with the library's in the same Arrow batch, many stretches in
+one call, and whole texts are where their end can't be given to the library alone; a difference
+fails the job.
 
 Defined results: null and empty texts have no ids and decode to an empty text. A text of any
 length is taken whole; a stretch of n characters takes n log n steps. Repeated rows are encoded
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
-#: Stretches that a worker keeps; it starts anew beyond.
-KEPT = 300_000
+#: Stretches that a worker keeps, the first it meets. Stretches compared with the library in one call.
+KEPT, AT_ONCE = 500_000, 200
 
 
 class Vocabulary:
@@ -114,15 +115,23 @@ class Vocabulary:
         text = "".join(parts)
         return text[1:] if text.startswith(" ") else text
 
-    def learn(self, new: list[str]) -> None:
-        """Encode new stretches and compare each with the library."""
+    def learn(self, new: list[str]) -> dict[str, tuple[str, int, str]]:
+        """Ids as text, their number and the decoded text of new stretches, compared with the library."""
         own = [self.merge(s) for s in new]
+        inner = [(s, ids) for s, ids in zip(new, own, strict=True) if s[-1] != MARK]
+        for i in range(0, len(inner), AT_ONCE):
+            part = inner[i : i + AT_ONCE]
+            self._compare("".join([s for s, _ in part]), [x for _, ids in part for x in ids])
+        for s, ids in zip(new, own, strict=True):
+            if s[-1] == MARK and len(s) > 1:
+                self._compare(s, ids)
+        return {s: (",".join(map(str, a)), len(a), " " + self.decode(a)) for s, a in zip(new, own, strict=True)}
+
+    def _compare(self, marked: str, ids: list[int]) -> None:
         # the library sets the first mark itself
-        theirs = self.library.encode([s[1:].replace(MARK, " ") for s in new])
-        for s, a, b in zip(new, own, theirs, strict=True):
-            if a != b and len(s) > 1 and s[0] == MARK:
-                raise ValueError(f"ids differ from the library's for {s!r}: {a} and {b}")
-            self.seen[s] = (",".join(map(str, a)), len(a), " " + self.decode(a) if s[0] == MARK else self.decode(a))
+        theirs = self.library.encode(marked[1:].replace(MARK, " "))
+        if theirs != ids:
+            raise ValueError(f"ids differ from the library's in {marked[:200]!r}")
 
 
 def _characters(raw: bytes) -> str:
@@ -170,15 +179,16 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
                 b = whole.slice(at, 256)
                 texts = b.column(1).to_pylist()
                 cut = [stretches(t) if t else [] for t in texts]
-                if len(v.seen) > KEPT:
-                    v.seen.clear()
-                new = {s for c in cut for s in c if s not in v.seen}
-                if new:
-                    v.learn(sorted(new))
-                seen = v.seen
+                parts = [list(map(v.seen.get, c)) for c in cut]
+                lacking = [i for i, p in enumerate(parts) if None in p]
+                if lacking:
+                    new = v.learn(sorted({s for i in lacking for s, p in zip(cut[i], parts[i], strict=True) if p is None}))
+                    for i in lacking:
+                        parts[i] = [new[s] if p is None else p for s, p in zip(cut[i], parts[i], strict=True)]
+                    if len(v.seen) < KEPT:
+                        v.seen.update(new)
                 n, digest, back, ids, decoded = [], [], [], [], []
-                for t, c in zip(texts, cut, strict=True):
-                    found = [seen[s] for s in c]
+                for t, c, found in zip(texts, cut, parts, strict=True):
                     line = ",".join([x[0] for x in found])
                     said = "".join([x[2] for x in found])[1:]
                     if t and c[-1] == MARK:  # a text that ends in one mark, which the library can't see alone
