@@ -23,10 +23,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from covspark.llm.common import fresh, written
+
 UNKNOWN = "und"
 
 
@@ -157,8 +159,6 @@ def sample(labelled: DataFrame, text: str, lang: str, s: Settings) -> DataFrame:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", settings: Settings = Settings()) -> Model:
     """A model of the languages in ``lang``; the driver gets shards x buckets x languages numbers."""
-    from covspark.llm.common import written
-
     s = settings
     rows = written(sample(labelled, text, lang, s), "langid-sample")
     langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
@@ -243,6 +243,15 @@ def predict(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_p
     return rest.mapInArrow(run, schema)
 
 
-def confident(pred: Column, score: Column, least: float = 0.5) -> Column:
-    """A document stays if it has a language and more than ``least`` of the probability is on it."""
-    return (pred != UNKNOWN) & (score >= least)
+def keep(docs: DataFrame, text: str = "text", lang: str = "lang", least: float = 0.4) -> DataFrame:
+    """The documents in a language, with their own columns; the model is learned from their labels.
+
+    A text that has no letter goes, and one on whose best language less than ``least`` of the
+    probability lies. Without any label only letterless texts go.
+    """
+    model = fit(docs, text, lang)
+    if not model.langs:
+        return docs.where(F.col(text).rlike("\\p{L}"))
+    pred, score = fresh(docs, "_lang"), fresh(docs, "_lang_score")
+    found = predict(docs, model, text, pred, score).where((F.col(pred) != UNKNOWN) & (F.col(score) >= least))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
