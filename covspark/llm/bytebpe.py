@@ -1,9 +1,10 @@
 """Token ids of whole texts from a byte-level BPE vocabulary file, as little-endian 32-bit integers.
 
-The vocabulary's own library makes all ids. A place where a space follows a character that is no
-white space always separates its pre-tokens, so the stretches between such places are encoded
-once in a worker and then looked up. Texts in which a space follows other white space, or that
-spell a special token, go to the library whole.
+The vocabulary's own library makes all ids. Its pre-tokens always end where white space follows
+another character, and where line ends do other than white space, so the stretches between such
+places are encoded once in a worker and then looked up; so is a word without the signs that follow
+it. Texts in which spaces or line ends meet other white space, or that spell a special token, go
+to the library whole.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from functools import lru_cache
 
 import numpy as np
 
-STRETCH = re.compile(" *[^ ]+| +$")
-UNSAFE = re.compile(r"[^\S ] ")
+# of several line ends the last is a pre-token of its own, unless the text ends there
+STRETCH = re.compile(r"\n+\Z|\n+(?=\n)|\n| *[^ \n]+| +\Z")
+UNSAFE = re.compile(r"[^\S ] | \n|[^\S\n ]\n|\n[^\S\n]")
+OTHER_SPACE = re.compile(r"[^\S \n]")
+SIGNED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s']+)")
 #: Stretches that a worker keeps, the first it meets; a longer one is not kept. Stretches encoded in one call.
-KEPT, LONGEST, AT_ONCE = 500_000, 64, 200
+KEPT, LONGEST, AT_ONCE = 800_000, 64, 200
 
 
 class ByteBpe:
@@ -38,33 +42,42 @@ class ByteBpe:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
     def _joined(self, stretches: list[str]) -> list[bytes]:
-        """Ids of stretches that start with a space and end without one, encoded as one text and cut by their bytes."""
-        text = "".join(stretches)
-        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.cumsum([len(s.encode()) for s in stretches])
-        upto = (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1) * 4
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
+        """Ids of stretches that end without white space, encoded as one text and cut by their bytes."""
+        apart = [s if s[0] == " " else "\n" + s for s in stretches]
+        found = self.library.encode_batch_fast(["".join(apart)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, dtype="<u4")
+        upto = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(s.encode()) for s in apart])) + 1
+        raw, upto = ids.tobytes(), (4 * upto).tolist()
+        # the line end in front of a stretch is an id of its own
+        start = [a if s[0] == " " else a + 4 for a, s in zip([0, *upto[:-1]], apart, strict=True)]
+        return [raw[a:b] for a, b in zip(start, upto, strict=True)]
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        plain = [s for s in new if s[0] == " " and not s[-1].isspace() and not self.special.search(s)]
-        rest = list(set(new).difference(plain))
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        halves = {s: m.groups() for s, m in ((s, SIGNED.fullmatch(s)) for s in new) if m}
+        wanted = (new - halves.keys()) | {x for pair in halves.values() for x in pair if x not in self.seen}
+        plain = [s for s in wanted if (s[0] == " " or not s[0].isspace()) and not s[-1].isspace()]
+        rest = list(wanted.difference(plain))
         out = dict(zip(rest, self._ids(rest), strict=True))
         for i in range(0, len(plain), AT_ONCE):
             part = plain[i : i + AT_ONCE]
             out.update(zip(part, self._joined(part), strict=True))
+        ids_of = lambda x: self.seen[x] if x in self.seen else out[x]
+        out.update((s, ids_of(a) + ids_of(b)) for s, (a, b) in halves.items())
         return out
 
+    def _whole(self, text: str) -> bool:
+        if "\n " in text or " \n" in text or OTHER_SPACE.search(text) and UNSAFE.search(text):
+            return True
+        return bool(self.special.search(text))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null counts as empty."""
         seen = self.seen
-        cut = [
-            [] if not t else [t] if UNSAFE.search(t) or self.special.search(t) else STRETCH.findall(t) for t in texts
-        ]
+        cut = [[] if not t else [t] if self._whole(t) else STRETCH.findall(t) for t in texts]
         parts = [list(map(seen.get, c)) for c in cut]
         lacking = [i for i, p in enumerate(parts) if None in p]
         if lacking:
-            new = self._learn(list({s for i in lacking for s, p in zip(cut[i], parts[i], strict=True) if p is None}))
+            new = self._learn({s for i in lacking for s, p in zip(cut[i], parts[i], strict=True) if p is None})
             for i in lacking:
                 parts[i] = [new[s] if p is None else p for s, p in zip(cut[i], parts[i], strict=True)]
             if len(seen) < KEPT:
