@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,9 @@ from pyspark.sql.window import Window
 from covspark.llm.common import written
 
 
-def candidates(signed: DataFrame, bands: int, salts: int = 32, lags: int = 1) -> DataFrame:
+def candidates(
+    signed: DataFrame, bands: int, salts: int = 32, lags: int = 1, fits: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
     """Pairs a < b of the ids of rows (id, keys) that share a key in the same place of ``keys``.
 
     Keys of one row go at once. Every other row is paired with its key's centre, the row that meets
@@ -18,32 +22,37 @@ def candidates(signed: DataFrame, bands: int, salts: int = 32, lags: int = 1) ->
     with the first of them. For that the rows of a key are dealt by a salt, and the salts' firsts
     meet after that. So the pairs are linear in the rows of a key, no group is unbounded, and a hot
     key spreads: counts and centres are combined before the shuffle, and joins on keys are inner
-    joins whose hot partitions Spark splits.
+    joins whose hot partitions Spark splits. ``fits`` says of two rows' keys whether the pair is
+    worth a closer look.
     """
-    near = F.shiftright(F.get("keys", F.pmod(F.col("band") + 1, F.lit(bands))), 32).cast("int")
-    rows = signed.select("id", "keys", F.posexplode("keys").alias("band", "half"))
-    rows = rows.select(F.xxhash64("band", "half").alias("key"), "id", near.alias("near"))
+    rows = signed.select("id", F.posexplode("keys").alias("band", "half"))
+    rows = rows.select(F.xxhash64("band", "half").alias("key"), "id", F.col("band").cast("byte").alias("band"))
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     live = written(rows.join(counts, "key"), "buckets")
 
-    degree = live.groupBy("id").agg(F.sum("n").alias("degree"))
-    ranked = written(live.drop("n").join(degree, "id"), "ranked")
-    centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("c")).select("key", F.col("c.id").alias("other"))
-    stars = ranked.select("key", "id").join(centre, "key").select("id", "other")
+    degree = live.groupBy("id").agg(F.sum("n").alias("degree")).join(signed.select("id", "keys"), "id")
+    node = F.struct("degree", "id", "keys").alias("node")
+    near = F.shiftright(F.get("keys", F.pmod(F.col("band") + 1, F.lit(bands))), 32).cast("int").alias("near")
+    ranked = written(live.select("key", "id", "band").join(degree, "id").select("key", node, near), "ranked")
+    centre = ranked.groupBy("key").agg(F.max("node").alias("other"))
+    stars = ranked.select("key", "node").join(centre, "key").select("node", "other")
 
     def meet(part: list[str]) -> list[Column]:
         w = Window.partitionBy(*part)
-        return [F.min("id").over(w), *[F.lag("id", k + 1).over(w.orderBy("near", "id")) for k in range(lags)]]
+        return [F.max("node").over(w), *[F.lag("node", k + 1).over(w.orderBy("near", "node.id")) for k in range(lags)]]
 
     def named(columns: list[Column], name: str) -> list[Column]:
         return [c.alias(f"{name}{i}") for i, c in enumerate(columns)]
 
-    one = ranked.withColumn("salt", F.pmod("id", F.lit(salts)).cast("int")).select("*", *named(meet(["key", "salt"]), "one"))
-    first = F.col("id") == F.col("one0")
+    one = ranked.withColumn("salt", F.pmod("node.id", F.lit(salts)).cast("int")).select("*", *named(meet(["key", "salt"]), "one"))
+    first = F.col("node.id") == F.col("one0.id")
     two = one.withColumn("group", F.when(first, F.lit(-1)).otherwise(F.col("salt")))
     two = two.select("*", *named(meet(["key", "group"]), "two"))
     n = range(lags + 1)
     others = F.array(*[F.col(f"one{i}") for i in n], *[F.when(first, F.col(f"two{i}")) for i in n])
-    chains = two.select("id", F.explode(F.array_distinct(F.array_compact(others))).alias("other"))
-    met = stars.unionByName(chains).where(F.col("id") != F.col("other"))
-    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    chains = two.select("node", F.explode(F.array_compact(others)).alias("other"))
+    met = stars.unionByName(chains).where(F.col("node.id") != F.col("other.id"))
+    if fits is not None:
+        met = met.where(fits(F.col("node.keys"), F.col("other.keys")))
+    a, b = F.col("node.id"), F.col("other.id")
+    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
