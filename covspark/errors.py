@@ -32,16 +32,20 @@ class ContractError(CovsparkError, ValueError):
 
 
 class CoverageError(CovsparkError):
-    """A query asked for dates that are not covered."""
+    """A query asked for dates that are not covered.
 
-    def __init__(self, dataset: str, missing: dict[str, list[tuple]], total: int):
+    ``gaps`` is the DataFrame of all of them (key, gap_start, gap_end); ``missing`` and the
+    message name the first few.
+    """
+
+    def __init__(self, dataset: str, missing: dict[str, list[tuple]], total: int, gaps=None):
         self.dataset = dataset
         self.missing = missing
         self.total = total
-        shown = ", ".join(
-            f"{key}[{start}:{end})" for key, gaps in missing.items() for start, end in gaps
-        )
-        super().__init__(f"{dataset}: {total} missing interval(s): {shown}")
+        self.gaps = gaps
+        named = [f"{key}[{start}:{end})" for key, spans in missing.items() for start, end in spans]
+        more = f" and {total - len(named)} more" if total > len(named) else ""
+        super().__init__(f"{dataset}: {total} missing interval(s): {', '.join(named)}{more}")
 
 
 class PublishConflictError(CovsparkError):

@@ -29,12 +29,12 @@ def derive(facts: DataFrame, key: str, day: str) -> DataFrame:
 
 
 def read(coverage: DataFrame, keys: list[str] | DataFrame | None = None) -> DataFrame:
-    """Coverage rows of some keys, ordered by key."""
+    """Coverage rows of some keys; sort them where they are shown."""
     if isinstance(keys, DataFrame):
         coverage = coverage.join(keys.select("key"), "key", "left_semi")
     elif keys is not None:
         coverage = coverage.where(F.col("key").isin(list(keys)) if keys else F.lit(False))
-    return coverage.orderBy("key")
+    return coverage
 
 
 def summary(coverage: DataFrame) -> DataFrame:
@@ -103,9 +103,9 @@ def enforce(
     coverage: DataFrame,
     keys: list[str] | DataFrame | None,
     time_range: tuple[date, date] | None,
-    shown: int = 1000,
+    shown: int = 20,
 ) -> None:
-    """Raise when any key lacks part of the range. The error counts all gaps and lists some."""
+    """Raise when any key lacks part of the range. The error holds all gaps and names some."""
     require_time(spec)
     if keys is None or time_range is None:
         raise QueryError("required coverage needs explicit keys and a time range")
@@ -120,7 +120,7 @@ def enforce(
         found: dict[str, list[tuple]] = {}
         for row in first[:shown]:
             found.setdefault(row["key"], []).append((row["gap_start"], row["gap_end"]))
-        raise CoverageError(spec.name, found, total)
+        raise CoverageError(spec.name, found, total, missing)
 
 
 def continuity_gaps(requests: DataFrame, coverage: DataFrame) -> DataFrame:

@@ -23,36 +23,6 @@ def range_bucket(df: DataFrame, name: str, buckets: int = 64) -> Column:
     return F.size(F.filter(F.array(*[F.lit(cut) for cut in cuts]), lambda cut: cut <= F.col(name)))
 
 
-HOT_ROWS = 1_000_000
-
-
-def split_hot(
-    df: DataFrame,
-    keys: list[str],
-    coarse: Column,
-    fine: Column,
-    hot_rows: int = HOT_ROWS,
-    name: str = "bucket",
-) -> DataFrame:
-    """Adds a bucket that is ``fine`` in groups above ``hot_rows`` rows, else ``coarse``.
-
-    Small groups then cost no extra buckets. At most rows / hot_rows groups can be hot,
-    which bounds the broadcast.
-    """
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
-    )
-    on = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    return (
-        df.join(F.broadcast(hot), on, "left")
-        .withColumn(name, F.when(F.col("_hot"), fine).otherwise(coarse))
-        .drop("_hot", *[f"_hot_{k}" for k in keys])
-    )
-
-
 def _carry(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     on = [rows[k].eqNullSafe(summary[k]) for k in [*keys, "_bucket"]]
     return rows.join(summary, on).drop(*[summary[k] for k in [*keys, "_bucket"]])
@@ -126,21 +96,11 @@ def runs(
     )
 
 
-def top_n(
-    df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = 64
-) -> DataFrame:
+def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of every group, ranked as ``rank``.
 
-    Rows are ranked inside salted parts first, so the last task of a hot group sees at
-    most ``salts * n`` rows.
+    Spark ranks inside each task first and shuffles at most ``n`` rows of a group from it, as
+    long as ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default) is not below n.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    part = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        salted.withColumn("rank", F.row_number().over(part))
-        .where(F.col("rank") <= n)
-        .withColumn("rank", F.row_number().over(whole))
-        .where(F.col("rank") <= n)
-        .drop("_salt")
-    )
+    return df.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= n)

@@ -42,6 +42,16 @@ def _ends(sizes: np.ndarray, n: int, limit: int) -> np.ndarray:
     return np.minimum(np.arange(len(sizes)) + n, full)
 
 
+def _join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Equal or both null."""
+    return left.join(right, [left[k].eqNullSafe(right[k]) for k in on]).drop(*[right[k] for k in on])
+
+
+def bad_sizes(items: DataFrame, size: str) -> DataFrame:
+    """Items that ``by_size`` refuses: a null or negative size says nothing about the batch's end."""
+    return items.where(F.col(size).isNull() | (F.col(size) < 0))
+
+
 def by_size(
     items: DataFrame,
     keys: list[str],
@@ -53,7 +63,8 @@ def by_size(
     chunk: int = CHUNK,
 ) -> DataFrame:
     """Adds ``batch``: closes at n items or when the sizes reach ``limit``, checked after
-    each item, so an oversized item ends its batch. ``order`` must be unique in a group."""
+    each item, so an oversized item ends its batch. ``order`` must be unique in a group. A null
+    key is a group like any other; a null or negative size fails the job (see ``bad_sizes``)."""
     if n < 1 or chunk < n:
         raise ValueError("need n >= 1 and chunk >= n")
     key_schema = [f for f in items.schema if f.name in keys]
@@ -63,7 +74,9 @@ def by_size(
         *keys,
         F.col("_position"),
         F.floor((F.col("_position") - 1) / chunk).alias("_chunk"),
-        F.col(size).cast("bigint").alias("_size"),
+        F.when(F.col(size) >= 0, F.col(size).cast("bigint"))
+        .otherwise(F.raise_error(F.lit("a batch item has a null or negative size")).cast("bigint"))
+        .alias("_size"),
     )
     # the last n-1 items of a chunk also travel to the next one
     near_end = F.pmod(F.col("_position") - 1, F.lit(chunk)) >= chunk - (n - 1)
@@ -134,8 +147,8 @@ def by_size(
             at, current = nxt, current + 1
         return pdf.assign(batch=batch).loc[~pdf["_tail"], [*keys, "_position", "batch"]]
 
-    joined = spread.join(chained, [*keys, "_chunk"])
+    joined = _join(spread, chained, [*keys, "_chunk"])
     numbered = joined.groupBy(*keys, "_chunk").applyInPandas(
         number, f"{lead}_position bigint, batch bigint"
     )
-    return placed.join(numbered, [*keys, "_position"]).drop("_position")
+    return _join(placed, numbered, [*keys, "_position"]).drop("_position")

@@ -107,7 +107,14 @@ def typed_rows(rows: DataFrame, spec: DatasetSpec, keep: Sequence[str] = ()) ->
     return spec.normalize(good).select(*keep, *spec.columns)
 
 
-def table_from_responses(responses: DataFrame, spec: DatasetSpec) -> tuple[DataFrame, DataFrame]:
-    """(typed rows, violating rows) of raw responses with a ``response`` text column."""
-    rows = normalize(explode_items(classify(responses), spec), spec)
-    return typed_rows(rows, spec), rows.where(F.size("violations") > 0)
+def table_from_responses(
+    responses: DataFrame, spec: DatasetSpec, key: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(typed rows, violating rows, refused responses) of raw responses with a ``response`` text column.
+
+    ``key`` names the responses in the last; without one each is named by its text.
+    """
+    read = classify(responses)
+    rows = normalize(explode_items(read, spec), spec)
+    refused = response_problems(read, spec, key or "response")
+    return typed_rows(rows, spec), rows.where(F.size("violations") > 0), refused

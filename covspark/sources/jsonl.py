@@ -17,9 +17,10 @@ LOG_LINES = (
 )
 
 
-def read(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Well-formed object lines only."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Object lines only, whatever columns are used later; a field of another type is null."""
+    found = parse(spark.read.text(path), schema)
+    return found.where(~F.col("skipped")).select("record.*")
 
 
 def parse(lines: DataFrame, schema: str, text: str = "value") -> DataFrame:

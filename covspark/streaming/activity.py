@@ -57,14 +57,13 @@ def elapsed(unit: str, time: str):
 def finished_bursts(
     events: DataFrame, time: str, by: str, order: list[str], gap_seconds: int
 ) -> DataFrame:
-    """Bursts of a finished table, cut per user and day (a busy user: minute) and joined up."""
+    """Bursts of a finished table, cut per user and day and joined up."""
     timed = events.withColumn("_us", elapsed("MICROSECOND", time))
-    cut = ordered.split_hot(timed, [by], elapsed("DAY", time), elapsed("MINUTE", time))
     runs = ordered.runs(
-        cut,
+        timed,
         [by],
         order,
-        F.col("bucket"),
+        elapsed("DAY", time),
         ["_us"],
         lambda previous, current: current["_us"] - previous["_us"] > gap_seconds * 1_000_000,
     )

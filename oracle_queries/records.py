@@ -66,11 +66,8 @@ SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_t
 def log_runs(spark, sf):
     """Consecutive equal lines of a log collapse into one with a count."""
     e = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
-    cut = ordered.split_hot(
-        e, ["user_id"], activity.elapsed("DAY", "ts"), activity.elapsed("MINUTE", "ts")
-    )
     return logs.collapse_lines(
-        cut, ["user_id"], ["ts", "event_id"], F.col("bucket"), ["event_type"], "ts"
+        e, ["user_id"], ["ts", "event_id"], activity.elapsed("DAY", "ts"), ["event_type"], "ts"
     ).drop("run")
 
 

@@ -649,6 +649,21 @@ def checkpoint_batches_by_size(spark, sf):
     ).select("o_orderpriority", "o_orderkey", "batch")
 
 
+@register("""SELECT CASE WHEN o_orderpriority < '5' THEN o_orderpriority END AS o_orderpriority, o_orderkey, CAST((row_number() OVER
+  (PARTITION BY CASE WHEN o_orderpriority < '5' THEN o_orderpriority END ORDER BY o_orderdate, o_orderkey) - 1) // 64 AS BIGINT) AS batch
+FROM orders""")
+def batches_null_group(spark, sf):
+    """Items without a group key are a group of their own; small sizes leave only the item limit."""
+    items = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderpriority") < "5", F.col("o_orderpriority")).alias("o_orderpriority"),
+        "o_orderkey",
+        F.to_date("o_orderdate").alias("o_orderdate"),
+        F.lit(1).cast("bigint").alias("bytes"),
+    )
+    placed = batches.by_size(items, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], _order_bucket(), "bytes")
+    return placed.select("o_orderpriority", "o_orderkey", "batch")
+
+
 @register("""
 SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN '{"dataset":"d/' || lower(o_orderstatus) ||
   '","operands":{"symbols":["' || array_to_string(list_sort(list_distinct(string_split(s, ','))), '","') ||
@@ -682,13 +697,8 @@ def coalesce_requests(spark, sf):
 def positions(spark, sf):
     """Position in a group by way of month buckets."""
     rows = data.orders(spark, sf).select("o_custkey", "o_orderkey", "o_orderdate")
-    fine = _order_bucket()
-    coarse = F.struct(F.trunc("o_orderdate", "YEAR").alias("day"), F.lit(0).cast("bigint").alias("ids"))
     return ordered.position(
-        ordered.split_hot(rows, ["o_custkey"], coarse, fine),
-        ["o_custkey"],
-        ["o_orderdate", "o_orderkey"],
-        F.col("bucket"),
+        rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], F.trunc("o_orderdate", "MONTH")
     ).select("o_custkey", "o_orderkey", "position")
 
 

@@ -322,12 +322,7 @@ def test_hot_group_windows_match_plain_ones(spark):
             number += v != last
             last = v
             assert place[key, i] == at_ and run[key, i] == number
-    cut = ordered.split_hot(df, ["k"], F.lit(0), F.col("i"), hot_rows=100)
-    assert cut.where("k = 'hot'").select("bucket").distinct().count() > 100
-    assert rows(cut.where("k <> 'hot'").select("bucket").distinct()) == [(0,)]
-    again = ordered.position(cut, ["k"], ["i"], F.col("bucket"))
-    assert {(r["k"], r["i"]): r["position"] for r in again.collect()} == place
-    best = ordered.top_n(df, ["k"], [F.col("i").desc()], 3, salts=4)
+    best = ordered.top_n(df, ["k"], [F.col("i").desc()], 3)
     for key in {k for k, _, _ in items}:
         want = sorted((i for k, i, _ in items if k == key), reverse=True)[:3]
         assert [r["i"] for r in best.where(F.col("k") == key).orderBy("rank").collect()] == want
@@ -353,3 +348,18 @@ def test_request_keys(spark):
 def test_daily_basic_limits():
     assert DAILY_BASIC.capabilities["row_limit"] == 6000 and DAILY_BASIC.policy == "accept-empty"
     assert work.due_end(at(20, 15)) == date(2026, 7, 21)
+
+
+def test_batches_of_null_keys_and_bad_sizes(spark):
+    from covspark.plans import batches
+
+    items = spark.createDataFrame([(None, 1, 5), (None, 2, 5), ("a", 1, 5), ("a", 2, 5)], "k string, i int, z long")
+    out = batches.by_size(items, ["k"], ["i"], F.lit(0), "z", n=4, limit=5)
+    assert rows(out, "k", "i", "batch") == [("a", 1, 0), ("a", 2, 1), (None, 1, 0), (None, 2, 1)]
+    numbered = spark.createDataFrame([(None, 1, 5), (7, 1, 5), (None, 2, 5)], "k long, i int, z long")
+    assert batches.by_size(numbered, ["k"], ["i"], F.lit(0), "z").count() == 3
+    for z in (None, -1):
+        bad = items.unionByName(spark.createDataFrame([("b", 1, z)], items.schema))
+        assert batches.bad_sizes(bad, "z").count() == 1
+        with pytest.raises(Exception, match="null or negative size"):
+            batches.by_size(bad, ["k"], ["i"], F.lit(0), "z").collect()

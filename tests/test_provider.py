@@ -34,7 +34,7 @@ def answer(names, items, code=0, msg=None):
 def test_calendar_rows(spark):
     names = ["cal_date", "exchange", "is_open", "pretrade_date", "unknown"]
     body = answer(names, [["20260720", "SSE", 1, "20260717", 9], ["20260718", "SSE", "0", None, 9]])
-    good, bad = envelope.table_from_responses(responses(spark, body), TRADE_CAL)
+    good, bad, _ = envelope.table_from_responses(responses(spark, body), TRADE_CAL)
     assert good.columns == TRADE_CAL.columns
     assert rows(good) == [("SSE", d("07-18"), False, None), ("SSE", d("07-20"), True, d("07-17"))]
     assert bad.isEmpty()
@@ -43,7 +43,7 @@ def test_calendar_rows(spark):
 def test_flag_is_only_true_for_one(spark):
     values = [1, "1", "1.0", 1.0, None, True, "0"]
     items = [["SSE", f"202607{i + 10}", v, ""] for i, v in enumerate(values)]
-    good, _ = envelope.table_from_responses(
+    good, *_ = envelope.table_from_responses(
         responses(spark, answer(TRADE_CAL.columns, items)), TRADE_CAL
     )
     flags = [r["is_open"] for r in good.orderBy("cal_date").collect()]
@@ -58,7 +58,7 @@ def test_flag_is_only_true_for_one(spark):
 def test_provider_dates(spark, text, want):
     names = INDEX_BASIC.columns
     item = ["i", "n", None, "m"] + [None] * 3 + [text] + [None] * 5
-    good, bad = envelope.table_from_responses(responses(spark, answer(names, [item])), INDEX_BASIC)
+    good, bad, _ = envelope.table_from_responses(responses(spark, answer(names, [item])), INDEX_BASIC)
     if want is None and text not in ("", None):
         assert bad.first()["violations"] == ["base_date: bad value"]
     else:
@@ -69,24 +69,24 @@ def test_daily_numbers(spark):
     names = DAILY_BASIC.columns
     item = ["000001.SZ", "20260720", "1.5", "", None, 2, "1e3", " 7 ", ".5", "-3", "5."] + ["0"] * 7 + ["3"]
     assert len(item) == len(names)
-    good, bad = envelope.table_from_responses(responses(spark, answer(names, [item])), DAILY_BASIC)
+    good, bad, _ = envelope.table_from_responses(responses(spark, answer(names, [item])), DAILY_BASIC)
     row = good.first()
     assert bad.isEmpty()
     assert [row[n] for n in names[2:11]] == [1.5, None, None, 2.0, 1000.0, 7.0, 0.5, -3.0, 5.0]
     assert row["limit_status"] == 3
     for text in ("1_0", "1.0d", "abc", "1,5"):
         item[2] = text
-        _, bad = envelope.table_from_responses(responses(spark, answer(names, [item])), DAILY_BASIC)
+        _, bad, _ = envelope.table_from_responses(responses(spark, answer(names, [item])), DAILY_BASIC)
         assert bad.first()["violations"] == ["close: bad value"]
     item[2], item[-1] = "1", "200"
-    _, bad = envelope.table_from_responses(responses(spark, answer(names, [item])), DAILY_BASIC)
+    _, bad, _ = envelope.table_from_responses(responses(spark, answer(names, [item])), DAILY_BASIC)
     assert bad.first()["violations"] == ["limit_status: bad value"]
 
 
 def test_required_ragged_and_repeated_fields(spark):
     names = ["exchange", "cal_date", "is_open", "pretrade_date", "exchange"]
     body = answer(names, [["X", "20260720", 1, None, "SSE"], [None, "", 1, None, None], ["SSE"]])
-    good, bad = envelope.table_from_responses(responses(spark, body), TRADE_CAL)
+    good, bad, _ = envelope.table_from_responses(responses(spark, body), TRADE_CAL)
     assert rows(good, "exchange") == [("SSE",)]
     found = sorted(tuple(r["violations"]) for r in bad.collect())
     assert ("exchange: required", "cal_date: required") in found
@@ -109,7 +109,7 @@ def test_protocol_errors(spark):
 def test_index_weight_keeps_latest_date_of_month(spark):
     items = [["I", c, day, w] for day, c, w in [
         ("20260601", "a", 1), ("20260630", "a", 2), ("20260630", "b", 3), ("20260701", "c", 4)]]
-    good, _ = envelope.table_from_responses(
+    good, *_ = envelope.table_from_responses(
         responses(spark, answer(INDEX_WEIGHT.provided, items)), INDEX_WEIGHT
     )
     assert good.columns == INDEX_WEIGHT.columns
@@ -199,3 +199,11 @@ def test_jsonl_skips_bad_lines(spark, root):
         ("log", "plain", None, None), ("task.diagnostic", "m", "error", 1)]
     counted = jsonl.parse(spark.read.text(f"{root}/log.jsonl"), jsonl.LOG_LINES)
     assert counted.where("skipped").count() == 2
+
+
+def test_refused_responses_are_returned(spark):
+    bodies = ['{"code": 5, "msg": "no"}', "not json", '{"code": 0, "data": {"fields": ["cal_date"], "items": []}}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "id long, response string")
+    good, bad, refused = envelope.table_from_responses(df, TRADE_CAL, "id")
+    assert good.isEmpty() and bad.isEmpty()
+    assert sorted(r.id for r in refused.collect()) == [0, 1, 2]
