@@ -53,12 +53,17 @@ def by_key(
 
     A job without rows counts as resolved only under the dataset's missing-data policy.
     """
-    answered = (
-        rows.select(F.col(spec.partition_key).alias("key"), F.col(spec.time_field).alias("_day"))
-        .distinct()
-    )
-    hits = jobs.join(answered, "key", "left").groupBy("key", "start", "end").agg(
-        F.count_if((F.col("_day") >= F.col("start")) & (F.col("_day") < F.col("end"))).alias("days")
+    day = F.col(spec.time_field)
+    answered = rows.select(
+        F.col(spec.partition_key).alias("key"), day.alias("_day"), dates.month(day).alias("_month")
+    ).distinct()
+    # jobs meet days per month, so a key with many jobs and many days makes no product of them
+    months = F.explode_outer(dates.month_starts(F.col("start"), F.col("end")))
+    hits = (
+        jobs.select("key", "start", "end", months.alias("_month"))
+        .join(answered, ["key", "_month"], "left")
+        .groupBy("key", "start", "end")
+        .agg(F.count_if((F.col("_day") >= F.col("start")) & (F.col("_day") < F.col("end"))).alias("days"))
     )
     status = work.classify_empty(
         spec.policy, dates.daily_window(F.date_sub("end", 1), now), F.col("days")

@@ -14,7 +14,9 @@ from covspark.errors import ContractError
 from covspark.operators import validate
 from covspark.plans import ingest
 from covspark.sources import envelope
+from covspark.session import shared_folder
 from covspark.sources.revisions import Dataset
+from covspark.spec import DatasetSpec
 
 LANDED = "request_id string, key string, start date, end date, response string"
 
@@ -27,6 +29,31 @@ def read_landed(spark: SparkSession, path: str, max_files: int | None = None) ->
     return reader.json(path)
 
 
+def staged_rows(responses: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """Normalised rows of classified responses with what each was asked for, written once.
+
+    What is checked is then what is published, and no text is parsed twice.
+    """
+    asked = responses.withColumnsRenamed({c: f"_asked_{c}" for c in ("key", "start", "end")})
+    keep = ["request_id", "_asked_key", "_asked_start", "_asked_end"]
+    rows = envelope.normalize(envelope.explode_items(asked, spec, keep), spec)
+    spark = responses.sparkSession
+    path = shared_folder(spark, "incoming")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def foreign_rows(staged: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """Rows that their own request didn't ask for, whatever other requests did."""
+    day = F.col(spec.time_field)
+    own = (
+        (F.col(spec.partition_key).cast("string") == F.col("_asked_key"))
+        & (day >= F.col("_asked_start"))
+        & (day < F.col("_asked_end"))
+    )
+    return staged.where(~F.coalesce(own, F.lit(False)))
+
+
 def publish_batch(
     batch: DataFrame,
     batch_id: int,
@@ -37,29 +64,33 @@ def publish_batch(
 ) -> str:
     """Validate one micro-batch and publish it; a batch already published changes nothing.
 
-    The newest response of a key and range wins. Any bad response fails the whole batch.
+    Of several responses for one key and range, that with the largest request id wins. Any bad
+    response, bad row or row that its own request didn't ask for fails the whole batch.
     """
     spec = dataset.refresh().spec
     if dataset.manifest and dataset.manifest.batches.get(stream_id, -1) >= batch_id:
         return dataset.manifest.publication_id
-    batch = batch.persist(StorageLevel.DISK_ONLY)
+    newest = batch.groupBy("key", "start", "end").agg(
+        F.max("request_id").alias("request_id"), F.max_by("response", "request_id").alias("response")
+    )
+    responses = envelope.classify(newest).persist(StorageLevel.DISK_ONLY)
     try:
-        responses = envelope.classify(batch)
         validate.require_none(
             envelope.response_problems(responses, spec, "request_id"), f"{spec.name}: bad responses"
         )
-        rows = envelope.normalize(envelope.explode_items(responses, spec), spec)
+        rows = staged_rows(responses, spec)
         validate.require_none(
             rows.where(F.size("violations") > 0), f"{spec.name}: bad response rows"
         )
-        jobs = batch.select("key", "start", "end").distinct()
+        validate.require_none(foreign_rows(rows, spec), f"{spec.name}: rows outside their request")
+        jobs = responses.select("key", "start", "end")
         held = dataset.coverage() if dataset.manifest else jobs.limit(0)
         plan = ingest.by_key(
             envelope.typed_rows(rows, spec), jobs, spec, held, now, on_gap
         )
         return plan.publish(dataset, (stream_id, batch_id))
     finally:
-        batch.unpersist()
+        responses.unpersist()
 
 
 def start(

@@ -63,6 +63,27 @@ def test_bad_responses_publish_nothing(spark, root):
     assert dataset.refresh().manifest is None
 
 
+def test_newest_answer_wins_and_foreign_rows_fail(spark, root):
+    dataset = Dataset(spark, root, INDEX_DAILY)
+
+    def answer(key, *days):
+        items = [[key, f"2026{x}", *["1"] * 9] for x in days]
+        return json.dumps({"code": 0, "data": {"fields": INDEX_DAILY.columns, "items": items}})
+
+    twice = spark.createDataFrame(
+        [("r1", "A", d("07-13"), d("07-15"), answer("A", "0713")), ("r2", "A", d("07-13"), d("07-15"), answer("A", "0713", "0714"))],
+        ingest.LANDED,
+    )
+    ingest.publish_batch(twice, 0, dataset, "feed", NOW)
+    assert dataset.refresh().scan().count() == 2
+    mixed = spark.createDataFrame(
+        [("r3", "A", d("07-15"), d("07-16"), answer("B", "0715")), ("r4", "B", d("07-15"), d("07-16"), answer("B", "0715"))],
+        ingest.LANDED,
+    )
+    with pytest.raises(ContractError, match="outside their request"):
+        ingest.publish_batch(mixed, 1, dataset, "feed", NOW)
+
+
 def memory_stream(spark, root, df, name):
     """One file per row group of ``df``, read back as a stream."""
     path = f"{root}/{name}"
