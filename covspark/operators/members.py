@@ -21,10 +21,13 @@ LATEST, RANGE_UNION = "latest", "range_union"
 def latest_in_month(
     df: DataFrame, index: str = "index_code", day: str = "trade_date", bucket: str = "effective_month"
 ) -> DataFrame:
-    """Bucket rows by month and keep those of the latest date in their (index, month)."""
+    """Bucket rows by month and keep those of the latest date in their (index, month).
+
+    Groups hold one month of one index, which the calendar and the index bound.
+    """
     dated = df.withColumn(bucket, month(F.col(day)))
-    newest = dated.groupBy(index, bucket).agg(F.max(day).alias(day))
-    kept = dated.join(newest, [index, bucket, day], "left_semi")
+    newest = F.max(day).over(Window.partitionBy(index, bucket))
+    kept = dated.withColumn("_newest", newest).where(F.col(day) == F.col("_newest"))
     order = [index, bucket, *[c for c in df.columns if c not in (index, bucket)]]
     return kept.select(*order)
 

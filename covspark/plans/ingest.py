@@ -93,12 +93,9 @@ def demanded_rows(rows: DataFrame, jobs: DataFrame, spec: DatasetSpec) -> DataFr
 def demanded_cells(jobs: DataFrame, open_dates: DataFrame) -> DataFrame:
     """(key, cal_date): the open days each job asked for, one row per cell.
 
-    Jobs are spread over months, not days, and meet the dates there. The date side has one
-    row per civil date at most, which is what allows the broadcast.
+    Jobs are spread over months, not days, and meet the dates there.
     """
-    wanted = F.broadcast(
-        open_dates.select("cal_date", dates.month(F.col("cal_date")).alias("_month")).distinct()
-    )
+    wanted = open_dates.select("cal_date", dates.month(F.col("cal_date")).alias("_month")).distinct()
     months = dates.month_starts(F.col("start"), F.col("end"))
     return (
         jobs.where("start < end")

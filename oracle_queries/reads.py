@@ -4,6 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from covspark.errors import CoverageError
 from covspark.functions import dates
 from covspark.operators import calendar as cal
 from covspark.operators import coverage as cov
@@ -314,6 +315,17 @@ def coverage_gaps(spark, sf):
     return cov.gaps(requests, data.hull(spark, sf, "signup")).select("key", "gap_start", "gap_end")
 
 
+@register(f"""{_GAPS}
+SELECT key, CAST(a AS VARCHAR) AS gap_start, CAST(b AS VARCHAR) AS gap_end FROM g""")
+def coverage_error_gaps(spark, sf):
+    """A read that needs coverage fails with every gap, not with the first few."""
+    try:
+        cov.enforce(data.EVENT_DAYS, data.hull(spark, sf, "signup"), data.users(spark, sf), RANGE)
+    except CoverageError as error:
+        return error.gaps.select("key", "gap_start", "gap_end")
+    return data.users(spark, sf).limit(0).select("key", F.lit("").alias("gap_start"), F.lit("").alias("gap_end"))
+
+
 @register(f"""{_GAPS}
 SELECT j.key, CAST(cs AS VARCHAR) AS covered_start, CAST(ce AS VARCHAR) AS covered_end,
   count(a) = 0 AS complete, coalesce(string_agg(a || ':' || b, ',' ORDER BY a), '') AS missing

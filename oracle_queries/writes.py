@@ -222,6 +222,20 @@ SELECT event_id, CAST(CASE event_type WHEN 'click' THEN 5 WHEN 'error' THEN NULL
     ELSE 'code missing or invalid' END AS error_kind FROM events""")
 def envelope_errors(spark, sf):
     """Protocol errors, one kind of broken response per event type."""
+    return envelope.classify(_broken(spark, sf)).select("event_id", "code", "error_kind")
+
+
+@register("""
+SELECT event_id, CASE event_type WHEN 'click' THEN 'provider error' WHEN 'error' THEN 'not json'
+    WHEN 'purchase' THEN 'data missing or invalid' WHEN 'view' THEN 'fields or items missing'
+    ELSE 'code missing or invalid' END AS problem FROM events""")
+def failed_responses(spark, sf):
+    """Reading a table from failed responses gives them back with the reason."""
+    _, _, refused = envelope.table_from_responses(_broken(spark, sf), RAW, "event_id")
+    return refused.select("event_id", "problem")
+
+
+def _broken(spark, sf):
     kind = F.col("event_type")
     text = (
         F.when(kind == "click", F.concat(F.lit('{"code":5,"msg":"id '), F.col("event_id").cast("string"), F.lit('"}')))
@@ -230,8 +244,7 @@ def envelope_errors(spark, sf):
         .when(kind == "view", F.lit('{"code":0,"data":{"fields":["a"]}}'))
         .otherwise(F.lit('{"code":"0","data":{}}'))
     )
-    rows = data.events(spark, sf).select("event_id", text.alias("response"))
-    return envelope.classify(rows).select("event_id", "code", "error_kind")
+    return data.events(spark, sf).select("event_id", text.alias("response"))
 
 
 # membership
@@ -478,10 +491,11 @@ def market_ingest(spark, sf):
 
 
 @register("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(count(*) AS BIGINT) AS rows,
-  count(*) >= 300 AS saturated FROM events GROUP BY CAST(ts AS DATE)""")
+  count(*) >= (SELECT quantile_disc(n, 0.5) FROM (SELECT count(*) AS n FROM events GROUP BY CAST(ts AS DATE))) AS saturated
+FROM events GROUP BY CAST(ts AS DATE)""")
 def saturated_requests(spark, sf):
     """Answers that reached the row limit and may be cut off."""
-    return validate.saturated(data.events(spark, sf), ["day"], 300)
+    return validate.saturated(data.events(spark, sf), ["day"], _median_day(spark, sf))
 
 
 @register(f"""
@@ -753,8 +767,18 @@ def ingest_unresolved(spark, sf):
     return plan.problems.select("key", "start", "end", "status")
 
 
+# a limit that cuts some days off at every scale: the rows of the middle day
+_PER_DAY = "SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1"
+_CUT = f"""cut AS (SELECT d FROM ({_PER_DAY}) WHERE n >= (SELECT quantile_disc(n, 0.5) FROM ({_PER_DAY})))"""
+
+
+def _median_day(spark, sf) -> int:
+    per_day = data.events(spark, sf).groupBy("day").agg(F.count("*").alias("n"))
+    return per_day.agg(F.expr("percentile_disc(0.5) within group (order by n)")).first()[0]
+
+
 @register(f"""WITH days AS ({DAYS_SQL}), c AS ({CALENDAR_SQL}), {_JOBS},
-cut AS (SELECT CAST(ts AS DATE) AS d FROM events GROUP BY 1 HAVING count(*) >= 330),
+{_CUT},
 x AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(ts AS DATE) AS d, event_id FROM events)
 SELECT event_id FROM x WHERE d NOT IN (SELECT d FROM cut) AND EXISTS (SELECT 1 FROM jobs
   WHERE jobs.key = x.key AND x.d >= jobs.start AND x.d < jobs."end")""")
@@ -764,7 +788,7 @@ def ingest_by_date(spark, sf):
 
     from covspark.operators import calendar as cal
 
-    spec = replace(data.EVENT_DAYS, capabilities={"row_limit": 330})
+    spec = replace(data.EVENT_DAYS, capabilities={"row_limit": _median_day(spark, sf)})
     plan = ingest.by_date(
         data.event_days(spark, sf),
         _jobs(spark, sf),
@@ -776,7 +800,7 @@ def ingest_by_date(spark, sf):
     return plan.mutation.rows.select("event_id")
 
 
-@register(f"""WITH {_JOBS}, cut AS (SELECT CAST(ts AS DATE) AS d FROM events GROUP BY 1 HAVING count(*) >= 330)
+@register(f"""WITH {_JOBS}, {_CUT}
 SELECT DISTINCT jobs.key, CAST(cut.d AS VARCHAR) AS start, CAST(cut.d + 1 AS VARCHAR) AS "end" FROM jobs
 JOIN cut ON cut.d >= jobs.start AND cut.d < jobs."end" """)
 def ingest_refetch(spark, sf):
@@ -785,7 +809,7 @@ def ingest_refetch(spark, sf):
 
     from covspark.operators import calendar as cal
 
-    spec = replace(data.EVENT_DAYS, capabilities={"row_limit": 330})
+    spec = replace(data.EVENT_DAYS, capabilities={"row_limit": _median_day(spark, sf)})
     plan = ingest.by_date(
         data.event_days(spark, sf),
         _jobs(spark, sf),
