@@ -31,28 +31,23 @@ def candidates(
     live = written(rows.join(counts, "key"), "buckets")
 
     degree = live.groupBy("id").agg(F.sum("n").alias("degree")).join(signed.select("id", "keys"), "id")
-    node = F.struct("degree", "id", "keys").alias("node")
     near = F.shiftright(F.get("keys", F.pmod(F.col("band") + 1, F.lit(bands))), 32).cast("int").alias("near")
-    ranked = written(live.select("key", "id", "band").join(degree, "id").select("key", node, near), "ranked")
-    centre = ranked.groupBy("key").agg(F.max("node").alias("other"))
-    stars = ranked.select("key", "node").join(centre, "key").select("node", "other")
+    ranked = written(live.select("key", "id", "band").join(degree, "id").select("key", "id", "degree", near), "ranked")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("c")).select("key", F.col("c.id").alias("other"))
+    stars = ranked.select("key", "id").join(centre, "key").select("id", "other")
 
-    def meet(part: list[str]) -> list[Column]:
+    def met(rows: DataFrame, part: list[str]) -> DataFrame:
         w = Window.partitionBy(*part)
-        return [F.max("node").over(w), *[F.lag("node", k + 1).over(w.orderBy("near", "node.id")) for k in range(lags)]]
-
-    def named(columns: list[Column], name: str) -> list[Column]:
-        return [c.alias(f"{name}{i}") for i, c in enumerate(columns)]
-
-    one = ranked.withColumn("salt", F.pmod("node.id", F.lit(salts)).cast("int")).select("*", *named(meet(["key", "salt"]), "one"))
-    first = F.col("node.id") == F.col("one0.id")
-    two = one.withColumn("group", F.when(first, F.lit(-1)).otherwise(F.col("salt")))
-    two = two.select("*", *named(meet(["key", "group"]), "two"))
-    n = range(lags + 1)
-    others = F.array(*[F.col(f"one{i}") for i in n], *[F.when(first, F.col(f"two{i}")) for i in n])
-    chains = two.select("node", F.explode(F.array_compact(others)).alias("other"))
-    met = stars.unionByName(chains).where(F.col("node.id") != F.col("other.id"))
-    if fits is not None:
-        met = met.where(fits(F.col("node.keys"), F.col("other.keys")))
-    a, b = F.col("node.id"), F.col("other.id")
-    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+        others = F.array(F.col("head"), *[F.lag("id", k + 1).over(w.orderBy("near", "id")) for k in range(lags)])
+        return rows.withColumn("head", F.min("id").over(w)).withColumn("others", others)
+
+    salted = met(ranked.select("key", "id", "near", F.pmod("id", F.lit(salts)).cast("int").alias("salt")), ["key", "salt"])
+    firsts = met(salted.where(F.col("id") == F.col("head")).select("key", "id", "near"), ["key"])
+    chains = [x.select("id", F.explode(F.array_compact("others")).alias("other")) for x in (salted, firsts)]
+    pairs = stars.unionByName(chains[0]).unionByName(chains[1]).where(F.col("id") != F.col("other"))
+    pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    if fits is None:
+        return pairs
+    held = degree.select("id", "keys")
+    one, two = held.select(F.col("id").alias("a"), F.col("keys").alias("x")), held.select(F.col("id").alias("b"), F.col("keys").alias("y"))
+    return pairs.join(one, "a").join(two, "b").where(fits(F.col("x"), F.col("y"))).select("a", "b")
