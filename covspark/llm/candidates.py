@@ -13,8 +13,10 @@ from covspark.llm.common import written
 
 def candidates(
     signed: DataFrame, bands: int, salts: int = 32, lags: int = 1, fits: Callable[[Column, Column], Column] | None = None
-) -> DataFrame:
-    """Pairs a < b of the ids of rows (id, keys) that share a key in the same place of ``keys``.
+) -> tuple[DataFrame, DataFrame]:
+    """First pairs a < b of the ids of rows (id, keys) that share a key in the same place of ``keys``, and the rows of shared keys.
+
+    The pairs link most of what belongs together; ``untried`` gives the others that can matter.
 
     Keys of one row go at once. Every other row is paired with its key's centre, the row that meets
     most others over all its keys: near copies of one text are nearer to that than to each other.
@@ -32,7 +34,7 @@ def candidates(
 
     degree = live.groupBy("id").agg(F.sum("n").alias("degree")).join(signed.select("id", "keys"), "id")
     near = F.shiftright(F.get("keys", F.pmod(F.col("band") + 1, F.lit(bands))), 32).cast("int").alias("near")
-    ranked = written(live.select("key", "id", "band").join(degree, "id").select("key", "id", "degree", near), "ranked")
+    ranked = written(live.join(degree, "id").select("key", "id", "band", "n", "degree", near), "ranked")
     centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("c")).select("key", F.col("c.id").alias("other"))
     stars = ranked.select("key", "id").join(centre, "key").select("id", "other")
 
@@ -47,7 +49,62 @@ def candidates(
     pairs = stars.unionByName(chains[0]).unionByName(chains[1]).where(F.col("id") != F.col("other"))
     pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     if fits is None:
-        return pairs
+        return pairs, ranked
     held = degree.select("id", "keys")
     one, two = held.select(F.col("id").alias("a"), F.col("keys").alias("x")), held.select(F.col("id").alias("b"), F.col("keys").alias("y"))
-    return pairs.join(one, "a").join(two, "b").where(fits(F.col("x"), F.col("y"))).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(fits(F.col("x"), F.col("y"))).select("a", "b"), ranked
+
+
+def untried(
+    ranked: DataFrame,
+    signed: DataFrame,
+    pairs: DataFrame,
+    roots: DataFrame,
+    fits: Callable[[Column, Column], Column] | None = None,
+    reach: float | None = None,
+    block: int = 256,
+) -> DataFrame:
+    """All other pairs a < b that share a key and whose rows aren't in one class yet.
+
+    ``ranked`` and ``pairs`` are those of ``candidates``; ``roots`` (node, root) are the classes their
+    links make. With these pairs every two rows of a key are either compared or in one class anyway,
+    so the classes are those of a comparison of each key in full. A key whose rows are one class is
+    done. In other keys the rows outside of the key's largest class meet all rows of other classes,
+    in blocks of about ``block`` rows, so no task gets a whole key. The pairs grow with the square
+    of a key's rows only as far as these belong to different classes.
+
+    With ``reach``, ``pairs`` has the similarity and 1 - similarity is a metric: two rows whose
+    distances from their key's centre differ by more than ``reach`` needn't be compared.
+    """
+    rows = ranked.where(F.col("n") > 2).select("key", "id", "band", "n", "degree")
+    rows = rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("degree", "id")).alias("c"))
+    mixed = mixed.where(F.col("low") < F.col("high")).select("key", F.col("c.id").alias("centre"))
+    rows = written(rows.drop("degree").join(mixed, "key"), "mixed")
+    main = rows.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "root")).alias("m"))
+    rows = rows.join(main.select("key", F.col("m.root").alias("main")), "key").join(signed.select("id", "keys"), "id")
+    rows = rows.withColumn("a", F.least("id", "centre")).withColumn("b", F.greatest("id", "centre"))
+    if reach is not None:
+        rows = rows.join(pairs.select("a", "b", "similarity"), ["a", "b"], "left")
+        rows = rows.withColumn("d", F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("similarity"))).drop("similarity")
+    else:
+        rows = rows.withColumn("d", F.lit(None).cast("double"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = written(rows.select("key", "id", "band", "root", "main", "keys", "d", blocks.alias("blocks")), "mixed")
+    out = rows.where(F.col("root") != F.col("main")).select(
+        "key", "band", F.col("id").alias("x"), F.col("root").alias("xr"), F.col("keys").alias("xk"), F.col("d").alias("xd"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"),
+    )
+    all_ = rows.select(
+        "key", F.col("id").alias("y"), F.col("root").alias("yr"), "main", F.col("keys").alias("yk"), F.col("d").alias("yd"),
+        F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part"),
+    )
+    met = out.join(all_, ["key", "part"]).where((F.col("xr") != F.col("yr")) & ((F.col("yr") == F.col("main")) | (F.col("x") < F.col("y"))))
+    if reach is not None:
+        met = met.where(F.coalesce(F.abs(F.col("xd") - F.col("yd")) <= reach + 1e-6, F.lit(True)))
+    # a pair counts under the first key it shares
+    met = met.where(F.array_position(F.zip_with("xk", "yk", lambda u, v: u == v), True) == F.col("band") + 1)
+    if fits is not None:
+        met = met.where(fits(F.col("xk"), F.col("yk")))
+    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return met.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
