@@ -2,20 +2,19 @@
 
 Built-in functions only. Each text is measured once: counts of the base rules, a histogram of
 character classes and one of common words. The measurements are written to the shared folder;
-their sums by language, over every document that passes the base rules and the length guards,
-are the references. A document's verdict is the Jensen-Shannon distance (base 2, so 0 to 1) of
-its two histograms to the reference of its language, or to the nearest reference where its
-language has none. A histogram with too few words or characters is not judged.
+their sums by language, over every document that passes the base rules, are the references, so
+every language of such a document has one. A document's verdict is the Jensen-Shannon distance
+(base 2, so 0 to 1) of its two histograms to the reference of its language, or to the nearest
+reference where its language is null. A histogram with too few words or characters is not judged.
 
-Defined results: a null or empty text has no words and fails the base rules. Documents of a
-language without a reference use the nearest; without any reference only the base rules count.
+Defined results: a null or empty text has no words and fails the base rules. Documents of
+a null language use the nearest reference; without any reference only the base rules count.
 Repeated rows are measured each by itself. Long texts need time in proportion to n log n. Two
 three-word windows count as equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from covspark.llm.common import fresh, written
 
-#: Common words of the languages that references are made for.
+#: Common words of four languages; in others all words are one bin.
 COMMON = {
     "en": "the of and to in a is that it for on was be with as by this are at from an or not but have he you they",
     "de": "der die und das den von zu mit dem des ist nicht ein eine auf für im sich als auch an es bei aus er sie wir werden",
@@ -38,7 +37,7 @@ SPACES = " \\t-\\r"
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds; a language has a reference from ``least_share`` of the usable documents on."""
+    """Thresholds of the base rules, of the length from which a histogram is judged, and of the distances."""
 
     min_words: int = 50
     repeat_percent: int = 50
@@ -46,7 +45,6 @@ class Rules:
     min_common: int = 200
     max_class_distance: float = 0.28
     max_word_distance: float = 0.30
-    least_share: float = 0.005
 
 
 def measured(docs: DataFrame, text: str, name: str) -> DataFrame:
@@ -130,45 +128,32 @@ def failed(m: Column, rules: Rules) -> Column:
     return (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.repeat_percent * m["n_words"])
 
 
-REFERENCES = "array<struct<lang:string,classes:array<double>,words:map<string,double>>>"
+def references(measures: DataFrame, lang: str, name: str, rules: Rules) -> DataFrame:
+    """lang and refs: the histograms of each language, summed over all its documents that pass the base rules.
 
-
-def references(measures: DataFrame, lang: str, name: str, rules: Rules) -> Column:
-    """A constant with the histograms of each language, summed over all usable documents.
-
-    At most 1 / ``least_share`` languages have one, each with the classes and the stated words.
+    A null language has those of all languages. The table has a row for each language and is joined.
     """
     m = F.col(name)
-    usable = measures.where(
-        ~failed(m, rules) & (m["n_tokens"] >= rules.min_common) & (F.element_at(m["classes"], 1) > 0) & F.col(lang).isNotNull()
-    ).select(F.col(lang).alias("lang"), m.alias("m"))
     total = F.aggregate("m.classes", F.lit(0.0), lambda a, x: a + x)
+    passed = measures.where(~failed(m, rules) & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), m.alias("m"))
+    usable = passed.withColumn("total", total).where(F.col("total") > 0)
     # every document weighs the same, so a few very long ones don't make the reference
     classes = usable.groupBy("lang").agg(
-        F.count("*").alias("docs"),
-        *[F.avg(F.element_at("m.classes", i + 1) / total).alias(f"c{i}") for i in range(len(CLASSES))],
+        F.array(*[F.avg(F.element_at("m.classes", i + 1) / F.col("total")) for i in range(len(CLASSES))]).alias("classes"),
+        F.count_if(F.col("m.n_tokens") > 0).alias("docs"),
     )
-    rows = classes.orderBy(F.desc("docs"), "lang").limit(int(1 / rules.least_share)).collect()
-    docs = sum(r.docs for r in rows)
-    kept = {r.lang: r for r in rows if r.docs >= rules.least_share * docs}
     share = (
-        usable.where(F.col("lang").isin(list(kept)))
-        .select("lang", "m.n_tokens", F.explode("m.common").alias("x"))
+        usable.select("lang", "m.n_tokens", F.explode("m.common").alias("x"))
         .groupBy("lang", "x.w")
         .agg(F.sum(F.col("x.n") / F.col("n_tokens")).alias("p"))
-        .collect()
-        if kept
-        else []
+        .groupBy("lang")
+        .agg(F.collect_list(F.struct("w", "p")).alias("found"))
     )
-    made = [
-        {
-            "lang": x,
-            "classes": [getattr(r, f"c{i}") for i in range(len(CLASSES))],
-            "words": {s.w: s.p / r.docs for s in share if s.lang == x},
-        }
-        for x, r in sorted(kept.items())
-    ]
-    return F.from_json(F.lit(json.dumps(made)), REFERENCES)
+    p = F.transform("found", lambda x: F.struct(x["w"].alias("w"), (x["p"] / F.col("docs")).alias("p")))
+    words = F.map_from_entries(F.coalesce(p, F.expr("array()").cast("array<struct<w:string,p:double>>")))
+    made = written(classes.join(share, "lang", "left").select("lang", F.struct("lang", "classes", words.alias("words")).alias("ref")), "references")
+    every = made.agg(F.collect_list("ref").alias("refs"))
+    return written(made.select("lang", F.array("ref").alias("refs")).unionByName(every.select(F.lit(None).cast("string").alias("lang"), "refs")), "references")
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -207,12 +192,13 @@ def word_distance(m: Column, ref: Column) -> Column:
 
 def judged(measures: DataFrame, lang: str, name: str, rules: Rules = Rules()) -> DataFrame:
     """Measurements with the struct column ``name`` widened by both distances, base_failed and kept."""
-    refs, m = references(measures, lang, name, rules), F.col(name)
-    own = F.filter(refs, lambda r: r["lang"] == F.col(lang))
-    to = F.when(F.size(own) > 0, own).otherwise(refs)
+    m = F.col(name)
+    own, refs = fresh(measures, "_lang"), fresh(measures, "_refs")
+    to = references(measures, lang, name, rules).select(F.col("lang").alias(own), F.col("refs").alias(refs))
+    joined = measures.join(to, F.col(lang).eqNullSafe(F.col(own)), "left")
     chars = F.aggregate(m["classes"], F.lit(0.0), lambda a, x: a + x)
-    nearest = lambda f: F.array_min(F.transform(to, lambda r: f(m, r)))  # noqa: E731  null without a reference
-    out = measures.withColumn(
+    nearest = lambda f: F.array_min(F.transform(refs, lambda r: f(m, r)))  # noqa: E731  null without a reference
+    out = joined.withColumn(
         name,
         F.struct(
             F.col(f"{name}.*"),

@@ -56,6 +56,22 @@ def test_verdict(spark):
     assert out.columns == both.columns and {r.doc_id for r in out.collect()} == set(range(30))
 
 
+def test_every_language_has_a_reference(spark):
+    rng = random.Random(6)
+    en = "the of and to in a is that it for on was be with as by reading garden houses fields".split()
+    letters = {"ar": "ابتثجحخدذرزسش", "ko": "가나다라마바사아자", "pl": "abcdefghijklmnoprstuwz"}
+    word = lambda x: "".join(rng.choice(letters[x]) for _ in range(rng.randint(4, 7)))
+    docs = [(i, " ".join(rng.choice(en) for _ in range(250)), "en") for i in range(400)]
+    # one document of a language, caseless scripts, and documents of fewer than 200 words
+    docs += [(1000, " ".join(word("ar") for _ in range(250)), "ar"), (1001, " ".join(word("ko") for _ in range(300)), "ko")]
+    docs += [(1002, " ".join(word("pl") for _ in range(250)), "pl"), (1003, " ".join(word("ko") for _ in range(150)), "zz")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in quality.assess(df).collect()}
+    assert len(rows) == len(docs) and all(r.kept for r in rows.values())
+    assert all(rows[i].class_distance < 0.01 for i in (1000, 1001, 1002, 1003))
+    assert quality.keep(df).count() == len(docs)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert quality.assess(df).count() == 0 and quality.keep(df).columns == df.columns
