@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covspark.llm import langid, licences, lines, neardup, packing, pieces, quality, tokenfile, topk, warc
+from covspark.llm import langid, licences, lines, neardup, packing, pieces, quality, runs, tokenfile, topk, warc
 from covspark.llm.common import bucket4, table, vocabulary_path
 from covspark.session import shared_folder
 
@@ -124,3 +124,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document, with the class's first document as its id."""
     return neardup.classify(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "n_links")
+
+
+@register()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in every document, and what is left when each keeps its first period."""
+    return runs.digests(table(spark, sf_dir, "documents"))
