@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covspark.llm import langid, licences, lines, neardup, packing, pieces, quality, runs, tokenfile, topk, warc
+from covspark.llm import langid, licences, lines, neardup, packing, pieces, quality, runs, sketches, tokenfile, topk, warc
 from covspark.llm.common import bucket4, table, vocabulary_path
 from covspark.session import shared_folder
 
@@ -130,3 +130,9 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of words in every document, and what is left when each keeps its first period."""
     return runs.digests(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and of its text edited with the next one's, and how alike they are."""
+    return sketches.edits(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
