@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covspark.llm import langid, licences, lines, neardup, packing, pieces, quality, runs, sketches, tokenfile, topk, warc
+from covspark.llm import langid, licences, lines, neardup, packing, pieces, quality, rtree, runs, sketches, tokenfile, topk, warc
 from covspark.llm.common import bucket4, table, vocabulary_path
 from covspark.session import shared_folder
 
@@ -136,3 +136,36 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document and of its text edited with the next one's, and how alike they are."""
     return sketches.edits(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@register(
+    """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    s AS (
+      SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id
+    ),
+    p AS (
+      SELECT anchor_id, vec_id, score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    ),
+    n AS (
+      SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS n
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+       AND 100 * s.score >= 30 * p.score AND 100 * s.score <= 90 * p.score
+    )
+    SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE n <= 10
+    """
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score 30 to 90 percent of an anchor's positives; every seventh label is moved on."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
