@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from covspark.errors import ContractError
 from covspark.operators import validate
@@ -17,16 +20,100 @@ from covspark.sources import envelope
 from covspark.session import shared_folder
 from covspark.sources.revisions import Dataset
 from covspark.spec import DatasetSpec
+from covspark.streaming import sinks
 
-LANDED = "request_id string, key string, start date, end date, response string"
+LANDED = (
+    "request_id string, key string, start date, end date, response string, "
+    "arrival bigint, part int, parts int"
+)
+RANGE = ("key", "start", "end")
+COMPLETE, LATE, INCOMPLETE = "complete", "late", "incomplete"
+ANSWERS = f"{LANDED}, status string"
+_STATE = "done bigint, arrival bigint, parts int, held array<int>, ids array<string>, texts array<string>"
+HOUR_MS = 3_600_000
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def read_landed(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """JSON lines of (request_id, key, start, end, response) as they arrive."""
+    """JSON lines of one part of an answer each, as they arrive.
+
+    ``arrival`` numbers the answers to one request (key and range), a later one being newer;
+    ``part`` of ``parts`` numbers an answer's parts. Without them an answer is one part of arrival 0.
+    """
     reader = spark.readStream.schema(LANDED)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(path)
+    return numbered(reader.json(path))
+
+
+def numbered(landed: DataFrame) -> DataFrame:
+    defaults = {"arrival": 0, "part": 0, "parts": 1}
+    return landed.withColumns({c: F.coalesce(c, F.lit(v).cast(landed.schema[c].dataType)) for c, v in defaults.items()})
+
+
+def newest_answers(landed: DataFrame) -> DataFrame:
+    """All parts of the newest answer to each request of a finished table; a part sent twice counts once.
+
+    ``missing`` counts the parts that are not there.
+    """
+    sent = F.max(F.struct("parts", "response", "request_id")).alias("_sent")
+    each = numbered(landed).groupBy(*RANGE, "arrival", "part").agg(sent)
+    request = Window.partitionBy(*RANGE)
+    newest = each.withColumn("_newest", F.max("arrival").over(request)).where("arrival = _newest")
+    whole = newest.select(*RANGE, "arrival", "part", "_sent.*")
+    return whole.withColumn("missing", F.max("parts").over(request) - F.count("*").over(request))
+
+
+def settle(landed: DataFrame, patience_ms: int = HOUR_MS, forget_ms: int = 7 * 24 * HOUR_MS) -> DataFrame:
+    """A stream of answers that can be published: all parts of the newest one, once they are there.
+
+    State per request holds the number of the last complete answer and the parts so far of a newer
+    one. Parts of an older or an already complete answer come out as ``late`` without their text. An
+    answer whose parts don't arrive within ``patience_ms`` of its last one comes out as one
+    ``incomplete`` row; a request nobody answers again is forgotten after ``forget_ms``.
+    """
+    names = [f.name for f in T.StructType.fromDDL(ANSWERS)]
+
+    def run(request, frames, state):
+        done, arrival, parts, held, ids, texts = state.get if state.exists else (None, None, None, [], [], [])
+        held, ids, texts = list(held or []), list(ids or []), list(texts or [])
+        out, whole = [], []
+        if state.hasTimedOut:
+            if arrival is not None:
+                out.append((ids[0], *request, None, arrival, None, parts, INCOMPLETE))
+            if arrival is None or done is None:
+                state.remove()
+            else:
+                state.update((done, None, None, [], [], []))
+                state.setTimeoutDuration(forget_ms)
+            yield pd.DataFrame(out, columns=names)
+            return
+        got = pd.concat(frames, ignore_index=True)
+        columns = [got[c].tolist() for c in ("arrival", "part", "response", "request_id", "parts")]
+        # the same text whatever order a repeated part came in
+        rows = sorted(zip(*columns, strict=True), key=lambda r: (r[0], r[1], r[2] or "", r[3] or ""), reverse=True)
+        for number in sorted({r[0] for r in rows}):
+            for at, part, text, name, of in (r for r in rows if r[0] == number):
+                if (done is not None and at <= done) or (arrival is not None and at < arrival):
+                    out.append((name, *request, None, at, part, of, LATE))
+                    continue
+                if arrival is None or at > arrival:
+                    out += [(i, *request, None, arrival, p, parts, LATE) for i, p in zip(ids, held)]
+                    arrival, parts, held, ids, texts = at, of, [], [], []
+                if part not in held:
+                    parts = max(parts, of)
+                    held.append(part)
+                    ids.append(name)
+                    texts.append(text)
+            if arrival is not None and len(held) >= parts:
+                out += [(*r[:4], None, *r[5:8], LATE) for r in whole]
+                whole = [(i, *request, t, arrival, p, parts, COMPLETE) for i, p, t in zip(ids, held, texts)]
+                done, arrival, parts, held, ids, texts = arrival, None, None, [], [], []
+        state.update((done, arrival, parts, held, ids, texts))
+        state.setTimeoutDuration(forget_ms if arrival is None else patience_ms)
+        yield pd.DataFrame(out + whole, columns=names)
+
+    return landed.groupBy(*RANGE).applyInPandasWithState(run, ANSWERS, _STATE, "append", "ProcessingTimeTimeout")
 
 
 def staged_rows(responses: DataFrame, spec: DatasetSpec) -> DataFrame:
@@ -64,17 +151,16 @@ def publish_batch(
 ) -> str:
     """Validate one micro-batch and publish it; a batch already published changes nothing.
 
-    Of several responses for one key and range, that with the largest request id wins. Any bad
-    response, bad row or row that its own request didn't ask for fails the whole batch.
+    Of several answers to one request (key and range) the newest arrival wins, with all its parts.
+    Any bad response, bad row, missing part or row that its own request didn't ask for fails the
+    whole batch.
     """
     spec = dataset.refresh().spec
     if dataset.manifest and dataset.manifest.batches.get(stream_id, -1) >= batch_id:
         return dataset.manifest.publication_id
-    newest = batch.groupBy("key", "start", "end").agg(
-        F.max("request_id").alias("request_id"), F.max_by("response", "request_id").alias("response")
-    )
-    responses = envelope.classify(newest).persist(StorageLevel.DISK_ONLY)
+    responses = envelope.classify(newest_answers(batch)).persist(StorageLevel.DISK_ONLY)
     try:
+        validate.require_none(responses.where("missing > 0").select("request_id", *RANGE, "missing"), f"{spec.name}: parts missing")
         validate.require_none(
             envelope.response_problems(responses, spec, "request_id"), f"{spec.name}: bad responses"
         )
@@ -83,7 +169,7 @@ def publish_batch(
             rows.where(F.size("violations") > 0), f"{spec.name}: bad response rows"
         )
         validate.require_none(foreign_rows(rows, spec), f"{spec.name}: rows outside their request")
-        jobs = responses.select("key", "start", "end")
+        jobs = responses.select(*RANGE).distinct()
         held = dataset.coverage() if dataset.manifest else jobs.limit(0)
         plan = ingest.by_key(
             envelope.typed_rows(rows, spec), jobs, spec, held, now, on_gap
@@ -100,17 +186,46 @@ def start(
     stream_id: str,
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
     on_gap: str = "error",
+    unused: str | None = None,
+    patience_ms: int = HOUR_MS,
+    forget_ms: int = 7 * 24 * HOUR_MS,
     **trigger,
 ) -> StreamingQuery:
+    """Publish every request's newest complete answer.
+
+    Late parts and incomplete answers land below ``unused``, one folder per micro-batch; without
+    it an incomplete answer stops the stream.
+    """
     if dataset.spec.time_field is None:
         raise ContractError("streamed ingest needs a dataset with a time field")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        publish_batch(batch, batch_id, dataset, stream_id, clock(), on_gap)
-
-    return (
-        landed.writeStream.option("checkpointLocation", checkpoint)
+        # the batch is read several times, its state only once
+        path = f"{shared_folder(batch.sparkSession, 'answers')}"
+        batch.write.parquet(path)
+        settled = batch.sparkSession.read.schema(ANSWERS).parquet(path)
+        left = settled.where(F.col("status") != COMPLETE).drop("response")
+        if unused:
+            left.write.mode("overwrite").parquet(f"{unused}/{sinks.BATCH}={batch_id}")
+        else:
+            validate.require_none(left.where(F.col("status") == INCOMPLETE), f"{dataset.spec.name}: incomplete answers")
+        whole = settled.where(F.col("status") == COMPLETE).drop("status")
+        if not whole.isEmpty():
+            publish_batch(whole, batch_id, dataset, stream_id, clock(), on_gap)
+
+    writer = (
+        settle(landed, patience_ms, forget_ms)
+        .writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(run)
+        .outputMode("append")
         .trigger(**(trigger or {"availableNow": True}))
-        .start()
     )
+    # with timers Spark would go on with empty batches for ever; so they go off with the next landed files.
+    # A query keeps the settings it was started with.
+    conf = landed.sparkSession.conf
+    before = conf.get(EMPTY_BATCHES)
+    conf.set(EMPTY_BATCHES, "false")
+    try:
+        return writer.start()
+    finally:
+        conf.set(EMPTY_BATCHES, before)

@@ -4,12 +4,13 @@ from datetime import date, datetime
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from covspark.operators import coverage as cov
 from covspark.operators import logs, status
 from covspark.operators.mutate import Mutation
 from covspark.session import shared_folder
-from covspark.sources import export, jsonl
+from covspark.sources import envelope, export, jsonl
 from covspark.sources.revisions import Dataset
 from covspark.streaming import activity, sinks
 from covspark.streaming import coverage as live_coverage
@@ -495,44 +496,74 @@ def stream_unread(spark, sf):
     )
 
 
-@register("""SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id, event_type, value
-FROM events""")
-def stream_ingest(spark, sf):
-    """Landed responses, one per user, published by a stream and read from the revision."""
-    e = data.event_days(spark, sf)
+def _answers(spark, sf, arrival: int, value="value", asked="user_id"):
+    """One answer per user and day over all events; a busy user's day has several parts."""
     names = data.EVENT_DAYS.columns
     item = F.array(
         "user_id", F.date_format("day", "yyyyMMdd"), F.col("event_id").cast("string"), "event_type",
-        F.col("value").cast("string"),
+        F.expr(value).cast("string"),
     )
-    # a busy user's day comes as several answers of at most a thousand rows
-    part = F.floor(F.col("event_id") / 1000).alias("part")
-    landed = (
-        e.groupBy("user_id", "day", part)
+    body = F.struct(
+        F.lit(0).alias("code"),
+        F.struct(F.array(*[F.lit(n) for n in names]).alias("fields"), "items").alias("data"),
+    )
+    request = Window.partitionBy("key", "start")
+    return (
+        data.event_days(spark, sf)
+        .groupBy(F.expr(asked).alias("key"), F.col("day").alias("start"), F.floor(F.col("event_id") / 1000).cast("int").alias("part"))
         .agg(F.collect_list(item).alias("items"))
         .select(
-            F.concat_ws("/", "user_id", "day", "part").alias("request_id"),
-            F.col("user_id").alias("key"),
-            F.col("day").alias("start"),
-            F.date_add("day", 1).alias("end"),
-            F.to_json(
-                F.struct(
-                    F.lit(0).alias("code"),
-                    F.struct(F.array(*[F.lit(n) for n in names]).alias("fields"), "items").alias("data"),
-                )
-            ).alias("response"),
+            F.concat_ws("/", "key", "start", F.lit(arrival)).alias("request_id"),
+            "key",
+            "start",
+            F.date_add("start", 1).alias("end"),
+            F.lit(arrival).cast("bigint").alias("arrival"),
+            "part",
+            F.count("*").over(request).cast("int").alias("parts"),
+            F.to_json(body).alias("response"),
         )
     )
-    folder = shared_folder(spark, "landed")
-    landed.write.json(folder)
-    dataset = Dataset(spark, shared_folder(spark, "ingested"), data.EVENT_DAYS)
+
+
+def _stream_landed(spark, dataset, folder, state):
     now = datetime(2024, 3, 1, 12, 0, tzinfo=ZoneInfo("Asia/Shanghai"))
     live_ingest.start(
-        live_ingest.read_landed(spark, folder),
-        dataset,
-        shared_folder(spark, "state"),
-        "events",
-        lambda: now,
-        "hull",
+        live_ingest.read_landed(spark, folder), dataset, state, "events", lambda: now, "hull", unused=f"{state}-unused"
     ).awaitTermination()
-    return dataset.refresh().scan()
+    return dataset.refresh()
+
+
+_ALL_EVENTS = """SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id, event_type, value
+FROM events"""
+
+
+@register(_ALL_EVENTS)
+def stream_ingest(spark, sf):
+    """Landed responses, one or more parts per user and day, published by a stream and read from the revision."""
+    folder = shared_folder(spark, "landed")
+    _answers(spark, sf, 1).write.json(folder)
+    dataset = Dataset(spark, shared_folder(spark, "ingested"), data.EVENT_DAYS)
+    return _stream_landed(spark, dataset, folder, shared_folder(spark, "state")).scan()
+
+
+@register(_ALL_EVENTS)
+def stream_ingest_repeated(spark, sf):
+    """Answers of arrival 9, then 10 in parts over two batches, and 2 last of all: 10 stays, though "9" and "2" are larger as text."""
+    folder, state = shared_folder(spark, "landed"), shared_folder(spark, "state")
+    dataset = Dataset(spark, shared_folder(spark, "ingested"), data.EVENT_DAYS)
+    old, newest = _answers(spark, sf, 9, "value + 1"), _answers(spark, sf, 10)
+    stale = _answers(spark, sf, 2, "value - 1").where("part % 3 = 0").withColumn("parts", F.lit(1))
+    first = F.col("part") % 2 == 0
+    old.unionByName(newest.where(first)).write.mode("append").json(folder)
+    _stream_landed(spark, dataset, folder, state)
+    newest.where(~first).unionByName(stale).write.mode("append").json(folder)
+    return _stream_landed(spark, dataset, folder, state).scan()
+
+
+@register("""SELECT CAST(user_id + 1 AS VARCHAR) || '/' || CAST(ts AS DATE) || '/1' AS request_id, CAST(user_id AS VARCHAR) AS user_id,
+  CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id FROM events WHERE event_id % 50 = 0""")
+def foreign_key_refused(spark, sf):
+    """Rows of another key than their own request's, though other requests ask for that key."""
+    landed = _answers(spark, sf, 1, asked="IF(event_id % 50 = 0, CAST(CAST(user_id AS BIGINT) + 1 AS STRING), user_id)")
+    staged = live_ingest.staged_rows(envelope.classify(live_ingest.newest_answers(landed)), data.EVENT_DAYS)
+    return live_ingest.foreign_rows(staged, data.EVENT_DAYS).select("request_id", "user_id", "day", "event_id")

@@ -52,7 +52,7 @@ def test_bad_responses_publish_nothing(spark, root):
 
     def batch(response):
         return spark.createDataFrame(
-            [("r", "A", d("07-13"), d("07-14"), response)], ingest.LANDED
+            [("r", "A", d("07-13"), d("07-14"), response, None, None, None)], ingest.LANDED
         )
 
     good = {"code": 0, "data": {"fields": INDEX_DAILY.columns, "items": [["A", "20260713", *["x"] * 9]]}}
@@ -71,19 +71,99 @@ def test_newest_answer_wins_and_foreign_rows_fail(spark, root):
         return json.dumps({"code": 0, "data": {"fields": INDEX_DAILY.columns, "items": items}})
 
     twice = spark.createDataFrame(
-        [("r1", "A", d("07-13"), d("07-15"), answer("A", "0713")), ("r2", "A", d("07-13"), d("07-15"), answer("A", "0713", "0714"))],
+        [("r9", "A", d("07-13"), d("07-15"), answer("A", "0713"), 9, 0, 1),
+         ("r10", "A", d("07-13"), d("07-15"), answer("A", "0713"), 10, 1, 2),
+         ("r10", "A", d("07-13"), d("07-15"), answer("A", "0714"), 10, 2, 2),
+         ("r10", "A", d("07-13"), d("07-15"), answer("A", "0714"), 10, 2, 2)],
         ingest.LANDED,
-    )
+    )
     ingest.publish_batch(twice, 0, dataset, "feed", NOW)
     assert dataset.refresh().scan().count() == 2
+    with pytest.raises(ContractError, match="parts missing"):
+        ingest.publish_batch(twice.where("part < 2"), 1, dataset, "feed", NOW)
     mixed = spark.createDataFrame(
-        [("r3", "A", d("07-15"), d("07-16"), answer("B", "0715")), ("r4", "B", d("07-15"), d("07-16"), answer("B", "0715"))],
+        [("r3", "A", d("07-15"), d("07-16"), answer("B", "0715"), 1, 0, 1), ("r4", "B", d("07-15"), d("07-16"), answer("B", "0715"), 1, 0, 1)],
         ingest.LANDED,
     )
     with pytest.raises(ContractError, match="outside their request"):
         ingest.publish_batch(mixed, 1, dataset, "feed", NOW)
 
 
+class State:
+    """What ``settle``'s function sees of Spark's group state."""
+
+    def __init__(self):
+        self.value, self.timeout, self.hasTimedOut = None, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_settling_waits_for_parts_and_times_out(monkeypatch):
+    import pandas as pd
+
+    class Landed:
+        def groupBy(self, *names):
+            return self
+
+        def applyInPandasWithState(self, run, *_):
+            return run
+
+    settle, state, request = ingest.settle(Landed(), 10, 99), State(), ("A", d("07-13"), d("07-15"))
+
+    def feed(*parts):
+        frame = pd.DataFrame([(a, p, n, f"{a}/{p}", f"r{a}") for a, p, n in parts], columns=["arrival", "part", "parts", "response", "request_id"])
+        out = pd.concat(list(settle(request, iter([frame]), state)))
+        return sorted((r.status, int(r.arrival), int(r.part), r.response) for r in out.itertuples())
+
+    assert feed((9, 0, 2)) == [] and state.timeout == 10
+    assert feed((9, 1, 2), (9, 1, 2)) == [("complete", 9, 0, "9/0"), ("complete", 9, 1, "9/1")] and state.timeout == 99
+    assert feed((9, 1, 2), (3, 0, 1)) == [("late", 3, 0, None), ("late", 9, 1, None)]
+    assert feed((10, 0, 2)) == []
+    assert feed((11, 0, 1), (12, 0, 1)) == [("complete", 12, 0, "12/0"), ("late", 10, 0, None), ("late", 11, 0, None)]
+    assert feed((13, 0, 2)) == []
+    state.hasTimedOut = True
+    (left,) = settle(request, iter([]), state)
+    assert left[["status", "arrival", "parts"]].values.tolist() == [["incomplete", 13, 2]]
+    assert state.value[0] == 12 and state.timeout == 99
+    assert next(settle(request, iter([]), state)).empty and state.value is None
+
+
+def test_parts_over_batches_and_a_late_older_answer(spark, root):
+    import os
+
+    os.makedirs(f"{root}/landed")
+    dataset = Dataset(spark, f"{root}/data", INDEX_DAILY)
+
+    def go(name, *parts):
+        with open(f"{root}/landed/{name}", "w") as f:
+            for arrival, part, of, days, close in parts:
+                items = [["A", f"2026{x}", close, *["1"] * 8] for x in days]
+                body = {"code": 0, "data": {"fields": INDEX_DAILY.columns, "items": items}}
+                f.write(json.dumps({"request_id": f"r{arrival}", "key": "A", "start": "2026-07-13", "end": "2026-07-16",
+                                    "arrival": arrival, "part": part, "parts": of, "response": json.dumps(body)}) + "\n")
+        ingest.start(ingest.read_landed(spark, f"{root}/landed", 1), dataset, f"{root}/state", "feed", lambda: NOW, unused=f"{root}/unused").awaitTermination()
+
+    go("1.json", (9, 0, 1, ["0713", "0714", "0715"], "1"))
+    go("2.json", (10, 0, 2, ["0713"], "2"))
+    assert dataset.refresh().manifest.revision == 1 and dataset.scan().count() == 3
+    go("3.json", (10, 1, 2, ["0714"], "2"), (8, 0, 1, ["0715"], "0"))
+    assert rows(dataset.refresh().scan(), "trade_date", "close") == [(d("07-13"), 2.0), (d("07-14"), 2.0)]
+    go("4.json", (9, 0, 1, ["0713"], "1"))
+    assert dataset.refresh().manifest.revision == 2
+    left = spark.read.parquet(f"{root}/unused")
+    assert rows(left, "status", "arrival") == [("late", 8), ("late", 9)]
+
+
 def memory_stream(spark, root, df, name):
     """One file per row group of ``df``, read back as a stream."""
     path = f"{root}/{name}"
