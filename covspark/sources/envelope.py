@@ -1,8 +1,8 @@
 """Landed provider responses: ``{code, msg, data: {fields, items}}`` as JSON text per response.
 
 ``classify`` separates protocol errors from good responses, ``explode_items`` turns items
-into rows of named text, and ``normalize`` types them against a dataset contract. Bad rows
-are kept and named in ``violations``; nothing is dropped on the way.
+into rows of named cells with their JSON kinds, and ``normalize`` types them against a dataset
+contract. Bad rows are kept and named in ``violations``; nothing is dropped on the way.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from covspark.functions.provider import convert, invalid
+from covspark.functions.provider import convert, invalid, json_cell, text_cell
 from covspark.spec import DatasetSpec
 
 
@@ -28,7 +29,7 @@ def classify(df: DataFrame, text: str = "response") -> DataFrame:
         .withColumn("msg", get("$.msg", "string"))
         .withColumn("_data", get("$.data", "map<string,variant>"))
         .withColumn("fields", get("$.data.fields", "array<string>"))
-        .withColumn("items", get("$.data.items", "array<array<string>>"))
+        .withColumn("items", get("$.data.items", "array<array<variant>>"))
     )
     kind = (
         F.when(F.col("_v").isNull(), "not json")
@@ -46,9 +47,9 @@ def missing_fields(names: Sequence[str]) -> Column:
 
 
 def explode_items(responses: DataFrame, spec: DatasetSpec, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per item of every usable response: ``keep`` columns, row_no, ragged, texts.
+    """One row per item of every usable response: ``keep`` columns, row_no, ragged, cells.
 
-    A field named twice takes its last position. Undeclared fields are ignored, and a
+    A cell is a struct of its JSON kind and its text. A field named twice takes its last position. Undeclared fields are ignored, and a
     response without a declared field gives no rows (see ``response_problems``).
     """
     names = [n for n in spec.provided]
@@ -62,12 +63,13 @@ def explode_items(responses: DataFrame, spec: DatasetSpec, keep: Sequence[str] =
         .select(*keep, "_width", "_at", F.posexplode("items"))
         .withColumnRenamed("pos", "row_no")
     )
-    return rows.select(
+    picked = rows.select(
         *keep,
         "row_no",
         (F.size("col") != F.col("_width")).alias("ragged"),
         *[F.get("col", F.col(f"_at.{n}")).alias(n) for n in names],
     )
+    return picked.withColumns({n: json_cell(F.col(n)) for n in names})
 
 
 def response_problems(responses: DataFrame, spec: DatasetSpec, key: str) -> DataFrame:
@@ -85,15 +87,20 @@ def response_problems(responses: DataFrame, spec: DatasetSpec, key: str) -> Data
 
 
 def normalize(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
-    """Typed columns plus ``violations``, an array that is empty for a good row."""
+    """Typed columns plus ``violations``, an array that is empty for a good row.
+
+    Declared columns are cells of ``explode_items`` or plain text.
+    """
     declared = {f.name: f for f in spec.schema}
     texts = [n for n in spec.provided if n in declared]
     others = [c for c in rows.columns if c not in texts and c != "ragged"]
-    # staged, so that every text is read and converted once
-    staged = rows.withColumnsRenamed({n: f"_text_{n}" for n in texts}).withColumns(
-        {n: convert(F.col(f"_text_{n}"), declared[n].dataType) for n in texts}
+    plain = [n for n in texts if isinstance(rows.schema[n].dataType, T.StringType)]
+    cells = rows.withColumns({n: text_cell(F.col(n)) for n in plain}) if plain else rows
+    # staged, so that every cell is read and converted once
+    staged = cells.withColumnsRenamed({n: f"_cell_{n}" for n in texts}).withColumns(
+        {n: convert(F.col(f"_cell_{n}"), declared[n].dataType) for n in texts}
     )
-    problems = [invalid(F.col(f"_text_{n}"), F.col(n), declared[n]) for n in texts]
+    problems = [invalid(F.col(f"_cell_{n}"), F.col(n), declared[n]) for n in texts]
     if "ragged" in rows.columns:
         problems.append(F.when(F.col("ragged"), F.lit("ragged item")))
     return staged.select(

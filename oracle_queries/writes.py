@@ -205,6 +205,38 @@ def envelope_explode(spark, sf):
     return rows.withColumn("problems", F.array_join("violations", ",")).drop("violations", "row_no")
 
 
+@register("""
+WITH c AS (SELECT *, event_id % 12 AS k, CAST(CAST(ts AS DATE) AS VARCHAR) AS d FROM events)
+SELECT event_id, CASE WHEN k <> 1 THEN d END AS day, CASE k WHEN 2 THEN 1.0 WHEN 3 THEN NULL ELSE value END AS value,
+  CAST(CASE k WHEN 4 THEN 1 WHEN 5 THEN NULL WHEN 6 THEN 5 ELSE 7 END AS TINYINT) AS kind, k IN (7, 8) AS is_open,
+  CASE WHEN k <> 10 THEN event_type END AS event_type,
+  CASE k WHEN 1 THEN 'day: bad value' WHEN 3 THEN 'value: bad value' WHEN 5 THEN 'kind: bad value'
+    WHEN 10 THEN 'event_type: bad value' ELSE '' END AS problems FROM c""")
+def envelope_json_types(spark, sf):
+    """Numbers, flags, text and lists keep their JSON kinds: what may fill a field depends on them."""
+    e = table(spark, sf, "events")
+    k = F.col("event_id") % 12
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    day = F.date_format("ts", "yyyyMMdd")
+    cells = F.concat_ws(
+        ",",
+        F.col("event_id").cast("string"),
+        F.when(k == 1, day).otherwise(quoted(day)),
+        F.when(k == 2, "true").when(k == 3, "[1.5]").otherwise(F.col("value").cast("string")),
+        F.when(k == 4, "true").when(k == 5, '"5.0"').when(k == 6, "5.5").otherwise("7"),
+        F.when(k == 7, "1").when(k == 8, '"1"').when(k == 9, "1.0").when(k == 11, "true").otherwise("0"),
+        F.when(k == 10, "12").otherwise(quoted(F.col("event_type"))),
+    )
+    body = F.concat(
+        F.lit('{"code":0,"data":{"fields":["event_id","day","value","kind","is_open","event_type"],"items":[['),
+        F.array_join(F.collect_list(cells), "],["),
+        F.lit("]]}}"),
+    )
+    responses = e.groupBy(F.floor(F.col("event_id") / 1000).alias("request_id")).agg(body.alias("response"))
+    rows = envelope.normalize(envelope.explode_items(envelope.classify(responses), RAW), RAW)
+    return rows.withColumn("problems", F.array_join("violations", ",")).drop("violations", "row_no")
+
+
 @register("""
 SELECT event_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
   CASE WHEN event_type <> 'signup' THEN value END AS value, CAST(7 AS TINYINT) AS kind,

@@ -47,7 +47,32 @@ def test_flag_is_only_true_for_one(spark):
         responses(spark, answer(TRADE_CAL.columns, items)), TRADE_CAL
     )
     flags = [r["is_open"] for r in good.orderBy("cal_date").collect()]
-    assert flags[:2] == [True, True] and not any([flags[2], *flags[4:]])
+    assert flags == [True, True, False, False, False, False, False]
+
+
+def test_json_kinds(spark):
+    """What the number, text or flag of a cell may fill."""
+    names = DAILY_BASIC.columns
+    fine = dict.fromkeys(names) | {"ts_code": "000001.SZ", "trade_date": "20260720"}
+    bad = [("limit_status", v) for v in ("5.0", "5.", "x", 200, 1e40, 10**30, [5], {"a": 5})]
+    bad += [("trade_date", 20260720), ("trade_date", True), ("ts_code", 1), ("ts_code", 1.5), ("ts_code", False), ("close", [1]), ("close", {})]
+    good = [("close", v, w) for v, w in [(1.0, 1.0), (2, 2.0), (True, 1.0), ("2.5", 2.5), (1e300, 1e300), (10**30, 1e30)]]
+    good += [("limit_status", v, w) for v, w in [(5, 5), ("5", 5), (" +5 ", 5), (5.0, 5), (5.7, 5), (-5.7, -5), (True, 1), ("", None), (None, None)]]
+    items = [list((fine | {n: v}).values()) for n, v, *_ in [*bad, *good]]
+    bodies = responses(spark, answer(names, [*items, list((fine | {"ts_code": None}).values())]))
+    read = envelope.normalize(envelope.explode_items(envelope.classify(bodies), DAILY_BASIC), DAILY_BASIC)
+    found = read.orderBy("row_no").collect()
+    for row, (name, _) in zip(found, bad):
+        assert row["violations"] == [f"{name}: bad value"] and row[name] is None
+    for row, (name, _, want) in zip(found[len(bad) :], good):
+        assert row["violations"] == [] and row[name] == want
+    assert found[-1]["violations"] == ["ts_code: required"]
+
+
+def test_plain_text_columns(spark):
+    df = spark.createDataFrame([("SSE", "20260720", "1", None), ("SSE", "2026", "1.0", "")], "exchange string, cal_date string, is_open string, pretrade_date string")
+    out = envelope.normalize(df, TRADE_CAL)
+    assert sorted((r["is_open"], *r["violations"]) for r in out.collect()) == [(False, "cal_date: bad value"), (True,)]
 
 
 @pytest.mark.parametrize(
