@@ -309,6 +309,13 @@ def test_batches_by_size_equal_the_loop(spark, n, limit, chunk):
     assert got == want
 
 
+@pytest.mark.parametrize("n, limit", [(2, 15), (3, 40)])
+def test_chunk_maps_fold_in_a_tree(spark, monkeypatch, n, limit):
+    """Chunks of n items under nodes of four maps, three levels high."""
+    monkeypatch.setattr(batches, "FAN", 4)
+    test_batches_by_size_equal_the_loop(spark, n, limit, n)
+
+
 def test_hot_group_windows_match_plain_ones(spark):
     random.seed(7)
     items = [("hot" if random.random() < 0.7 else random.choice("abc"), i, random.choice("xxy")) for i in range(400)]
