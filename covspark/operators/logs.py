@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from covspark.operators import ordered
 
@@ -219,38 +220,51 @@ def eta(elapsed: Column, current: Column, total: Column) -> Column:
 def resolve_prefixes(operands: DataFrame, ids: DataFrame) -> DataFrame:
     """operand to id: an exact id beats a unique prefix of at least eight characters.
 
-    Ids are counted per prefix of each length in use before they meet the operands, so a
-    prefix shared by very many ids stays one row.
+    A prefix stands for the interval of ids from itself up to its successor, so the next two ids
+    in order tell all: none, one or several of them begin with it. Operands and ids are sorted
+    together within their first eight characters, which a usable prefix shares with its ids, and
+    the next four; the first ids of the buckets behind are carried over to the one before.
     """
-    lowered = operands.select("operand").distinct()
-    valid = F.col("operand").rlike("^[0-9a-f]+$")
-    usable = lowered.where(valid & (F.length("operand") >= MIN_PREFIX))
-    # prefix lengths in use: at most as many as the longest id has characters
-    longest = ids.agg(F.max(F.length("id")).alias("n")).first()["n"] or 0
-    used = usable.select(F.length("operand").alias("n")).where(F.col("n") <= longest).distinct()
-    lengths = sorted(row["n"] for row in used.collect())
-    sizes = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
-    candidates = (
-        ids.select("id")
-        .distinct()
-        .withColumn("_n", F.explode(F.filter(sizes, lambda n: n <= F.length("id"))))
-        .groupBy(F.expr("substring(id, 1, _n)").alias("operand"))
-        .agg(F.count("*").alias("_matches"), F.min("id").alias("_match"))
+    asked = operands.select("operand").distinct()
+    both = asked.select(F.col("operand").alias("_key"), F.lit(0).alias("_kind")).unionByName(
+        ids.select(F.col("id").alias("_key")).where(F.col("id").isNotNull()).distinct().withColumn("_kind", F.lit(1))
+    )
+    rows = both.withColumns({"_head": F.substring("_key", 1, MIN_PREFIX), "_bucket": F.substring("_key", MIN_PREFIX + 1, 4)})
+    backwards = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    inside = backwards("_head", "_bucket").orderBy(F.desc("_key"), F.desc("_kind"))
+    is_id = F.col("_kind") == 1
+    behind = rows.withColumn("_next", F.last(F.when(is_id, F.col("_key")), True).over(inside))
+    pair = F.struct(F.col("_key").alias("a"), F.col("_next").alias("b"))
+    local = behind.withColumn("_two", F.last(F.when(is_id, pair), True).over(inside))
+
+    along = backwards("_head").orderBy(F.desc("_bucket"))
+    heads = (
+        behind.groupBy("_head", "_bucket")
+        .agg(F.min(F.when(is_id, pair)).alias("_p"))
+        .withColumn("_later", F.last(F.col("_p.a"), True).over(along))
+        .withColumn("_q", F.when(F.col("_p").isNotNull(), F.struct("_p.a", F.coalesce("_p.b", "_later").alias("b"))))
+        .select("_head", "_bucket", F.last("_q", True).over(along).alias("_carried"))
     )
-    exact = ids.select(F.col("id").alias("operand")).distinct().withColumn("_exact", F.lit(True))
-    joined = lowered.join(exact, "operand", "left").join(candidates, "operand", "left")
+    found = (
+        local.where(~is_id)
+        .join(heads, ["_head", "_bucket"])
+        .select(
+            F.col("_key").alias("operand"),
+            F.coalesce("_two.a", "_carried.a").alias("_first"),
+            F.when(F.col("_two").isNull(), F.col("_carried.b")).otherwise(F.coalesce("_two.b", "_carried.a")).alias("_second"),
+        )
+    )
+    operand = F.col("operand")
+    begins = lambda c: F.coalesce(F.col(c).startswith(operand), F.lit(False))
     status = (
-        F.when(~valid, "invalid")
-        .when(F.col("_exact"), "exact")
+        F.when(~F.coalesce(operand.rlike("^[0-9a-f]+$"), F.lit(False)), "invalid")
+        .when(F.col("_first") == operand, "exact")
         .when(F.length("operand") < MIN_PREFIX, "too short")
-        .when(F.col("_matches").isNull(), "not found")
-        .when(F.col("_matches") > 1, "ambiguous")
+        .when(~begins("_first"), "not found")
+        .when(begins("_second"), "ambiguous")
         .otherwise("prefix")
     )
-    return joined.withColumn("status", status).select(
-        "operand",
-        "status",
-        F.when(F.col("status") == "exact", F.col("operand"))
-        .when(F.col("status") == "prefix", F.col("_match"))
-        .alias("id"),
-    )
+    # null operands have no head to meet in
+    none = asked.where(operand.isNull()).select("operand", F.lit("invalid").alias("status"), F.lit(None).cast("string").alias("id"))
+    known = found.withColumn("status", status)
+    return known.select("operand", "status", F.when(F.col("status").isin("exact", "prefix"), F.col("_first")).alias("id")).unionByName(none)

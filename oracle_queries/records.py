@@ -201,32 +201,27 @@ def event_severity_counts(spark, sf):
 # id prefixes: ids are md5 of order keys, operands are cut from them
 
 
-def _ids(spark, sf):
-    return table(spark, sf, "orders").select(F.md5(F.col("o_orderkey").cast("string")).alias("id"))
-
-
-@register("""
-WITH i AS (SELECT md5(CAST(o_orderkey AS VARCHAR)) AS id, o_orderpriority AS p FROM orders),
-o AS (SELECT DISTINCT CASE p WHEN '1-URGENT' THEN id WHEN '2-HIGH' THEN substring(id, 1, 8) WHEN '3-MEDIUM'
-  THEN substring(id, 1, 12) WHEN '4-NOT SPECIFIED' THEN substring(id, 1, 5) ELSE upper(id) END AS operand FROM i),
-m AS (SELECT substring(id, 1, 8) AS operand, count(*) AS n, min(id) AS id FROM (SELECT DISTINCT id FROM i) GROUP BY 1
-  UNION ALL SELECT substring(id, 1, 12), count(*), min(id) FROM (SELECT DISTINCT id FROM i) GROUP BY 1),
+_ID = """CASE WHEN o_orderpriority = '2-HIGH' THEN concat(substring(md5(CAST(o_custkey AS VARCHAR)), 1, 8),
+  substring(md5(CAST(o_orderkey AS VARCHAR)), 1, 24)) ELSE md5(CAST(o_orderkey AS VARCHAR)) END"""
+_OPERAND = """CASE WHEN o_orderpriority = '1-URGENT' THEN id WHEN o_orderpriority = '2-HIGH' THEN substring(id, 1, 8)
+  WHEN o_orderpriority = '3-MEDIUM' AND o_orderkey % 3 = 0 THEN substring(md5(concat('x', CAST(o_orderkey AS VARCHAR))), 1, 10)
+  WHEN o_orderpriority = '3-MEDIUM' THEN substring(id, 1, 12)
+  WHEN o_orderpriority = '4-NOT SPECIFIED' THEN substring(id, 1, 5) ELSE upper(id) END"""
+
+
+@register(f"""
+WITH i AS (SELECT {_ID} AS id, * FROM orders), o AS (SELECT DISTINCT {_OPERAND} AS operand FROM i),
+d AS (SELECT DISTINCT id FROM i),
+m AS (SELECT substring(id, 1, n) AS operand, count(*) AS n, min(id) AS id FROM d, (VALUES (8), (10), (12)) AS l(n) GROUP BY 1),
 s AS (SELECT operand, CASE WHEN NOT regexp_full_match(operand, '[0-9a-f]+') THEN 'invalid'
   WHEN length(operand) = 32 THEN 'exact' WHEN length(operand) < 8 THEN 'too short' WHEN n > 1 THEN 'ambiguous'
   WHEN n IS NULL THEN 'not found' ELSE 'prefix' END AS status, m.id FROM o LEFT JOIN m USING (operand))
 SELECT operand, status, CASE status WHEN 'exact' THEN operand WHEN 'prefix' THEN id END AS id FROM s""")
 def resolve_prefixes(spark, sf):
-    """Operands to ids: exact beats a unique prefix of eight characters or more."""
-    p, i = F.col("o_orderpriority"), F.md5(F.col("o_orderkey").cast("string"))
-    operand = (
-        F.when(p == "1-URGENT", i)
-        .when(p == "2-HIGH", F.substring(i, 1, 8))
-        .when(p == "3-MEDIUM", F.substring(i, 1, 12))
-        .when(p == "4-NOT SPECIFIED", F.substring(i, 1, 5))
-        .otherwise(F.upper(i))
-    )
-    operands = table(spark, sf, "orders").select(operand.alias("operand"))
-    return logs.resolve_prefixes(operands, _ids(spark, sf))
+    """Operands to ids: exact beats a unique prefix of eight characters or more; some are shared, some nobody's."""
+    orders = table(spark, sf, "orders")
+    known = orders.withColumn("id", F.expr(_ID.replace("VARCHAR", "STRING")))
+    return logs.resolve_prefixes(known.select(F.expr(_OPERAND.replace("VARCHAR", "STRING")).alias("operand")), known.select("id"))
 
 
 # activity

@@ -109,3 +109,29 @@ def test_id_prefixes(spark):
     more = spark.createDataFrame([("aaaaaaaa11",), ("aaaaaaaa22",)], "id string")
     one = spark.createDataFrame([("aaaaaaaa",)], "operand string")
     assert rows(logs.resolve_prefixes(one, more), "status") == [("ambiguous",)]
+
+
+def test_prefixes_like_counting(spark):
+    """Shared heads, ids in later buckets and ids that are prefixes of others, against counting by hand."""
+    import random
+
+    r = random.Random(4)
+    heads = ["abcdef01", "abcdef02", "00000000"]
+    ids = {r.choice(heads) + "".join(r.choice("0f") for _ in range(r.choice([0, 1, 4, 5, 9]))) for _ in range(60)} | {"12", "ffffffffffff"}
+    asked = {x[: r.randrange(6, len(x) + 1)] for x in ids for _ in range(3) if len(x) > 6} | {h + s for h in heads for s in ("", "0f0", "0000", "ffff0")} | {None, "zz"}
+    found = logs.resolve_prefixes(
+        spark.createDataFrame([(a,) for a in asked] * 2, "operand string"), spark.createDataFrame([(i,) for i in ids] * 2 + [(None,)], "id string")
+    )
+    want = {}
+    for a in asked:
+        near = [i for i in ids if a and i.startswith(a)]
+        if a is None or a == "zz":
+            want[a] = ("invalid", None)
+        elif a in ids:
+            want[a] = ("exact", a)
+        elif len(a) < 8:
+            want[a] = ("too short", None)
+        else:
+            want[a] = ("prefix", near[0]) if len(near) == 1 else ("ambiguous" if near else "not found", None)
+    assert {x["operand"]: (x["status"], x["id"]) for x in found.collect()} == want
+    assert {"ambiguous", "not found", "prefix", "exact"} <= {s for s, _ in want.values()}
