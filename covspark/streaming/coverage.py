@@ -1,13 +1,15 @@
 """Running coverage per key over a stream of dated facts.
 
 Each key keeps its first and last day and one bitmap of the days seen, all as ordinary
-partial aggregates: a hot key is reduced on every task before it reaches its state.
+partial aggregates: a hot key is reduced on every task before it reaches its row in the table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from covspark.streaming import sinks
 
@@ -15,7 +17,7 @@ COLUMNS = "key string, bucket bigint, start date, last date, days binary"
 
 
 def track(facts: DataFrame, key: str, day: str) -> DataFrame:
-    """Stateful rows per key and bitmap bucket, for ``update`` mode."""
+    """A row per key and bitmap bucket, of a table or of a stream in ``update`` mode."""
     number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).cast("bigint")
     return (
         facts.where(F.col(key).isNotNull() & F.col(day).isNotNull())
@@ -43,8 +45,13 @@ def hulls(state: DataFrame) -> DataFrame:
     )
 
 
-def read(spark, path: str) -> DataFrame:
-    from pyspark.sql.types import StructType
+def follow(facts: DataFrame, key: str, day: str, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep the tracked rows of a stream of facts in a table; the stream has no state of its own."""
+    merge = {"start": F.min, "last": F.max, "days": F.bitmap_or_agg}
+    return sinks.upsert_batches(
+        facts, path, checkpoint, ["key", "bucket"], lambda batch: track(batch, key, day), merge, **trigger
+    )
 
-    schema = StructType.fromDDL(COLUMNS)
-    return hulls(sinks.latest(spark, path, ["key", "bucket"], schema))
+
+def read(spark, path: str) -> DataFrame:
+    return hulls(sinks.current(spark, path, StructType.fromDDL(COLUMNS)))

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from covspark.streaming import sinks
+
+COLUMNS = "event_id string, severity string, acknowledged boolean"
 
 
 def with_acknowledgements(
-    events: DataFrame, acks: DataFrame, delay: str = "1 hour", within: str = "1 day"
+    events: DataFrame, acks: DataFrame, within: str, delay: str = "1 hour"
 ) -> DataFrame:
     """events(event_id, ts, …) left-joined with acks(reference, acked_at).
 
     A row comes out once its acknowledgement arrives, or unacknowledged when the watermark
-    shows that none can come any more.
+    shows that none can come ``within`` that time any more; a later one isn't seen.
     """
     left = events.withWatermark("ts", delay)
     right = acks.withWatermark("acked_at", delay)
@@ -27,7 +33,7 @@ def with_acknowledgements(
 
 
 def read_state(log: DataFrame) -> DataFrame:
-    """Running state per event id without a time bound, for ``update`` mode.
+    """State per event id without a time bound, of a table or of a stream in ``update`` mode.
 
     An event brings its severity and an acknowledgement its mark, in either order; unread
     are the ids with a severity and no mark.
@@ -40,3 +46,15 @@ def read_state(log: DataFrame) -> DataFrame:
             F.bool_or(is_ack).alias("acknowledged"),
         )
     )
+
+
+def follow(log: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep the state of every event in a table; the stream has no state of its own."""
+    merge = {"severity": F.max, "acknowledged": F.bool_or}
+    return sinks.upsert_batches(log, path, checkpoint, ["event_id"], read_state, merge, **trigger)
+
+
+def unread(spark, path: str) -> DataFrame:
+    """event_id and severity of the events nobody has acknowledged so far."""
+    state = sinks.current(spark, path, StructType.fromDDL(COLUMNS))
+    return state.where("severity IS NOT NULL AND NOT acknowledged").select("event_id", "severity")

@@ -441,14 +441,13 @@ def stream_arrivals(spark, sf):
         .groupBy("day", "arrival")
         .agg(F.count("*").alias("events"))
     )
-    path = _run(spark, stream)
-    return sinks.latest(spark, path, ["day", "arrival"], stream.schema)
+    return _current(spark, stream, ["day", "arrival"])
 
 
-def _run(spark, stream):
+def _current(spark, stream, keys):
     path, checkpoint = shared_folder(spark, "stream"), shared_folder(spark, "state")
-    sinks.write_batches(stream, path, checkpoint).awaitTermination()
-    return path
+    sinks.upsert_batches(stream, path, checkpoint, keys).awaitTermination()
+    return sinks.current(spark, path, stream.schema)
 
 
 @register("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S.%f') AS bucket_start,
@@ -456,8 +455,7 @@ def _run(spark, stream):
 def stream_activity(spark, sf):
     """Hourly counts from a stream of event files."""
     stream = activity.per_bucket(_stream(spark, sf), "ts", "1 hour", delay="1 hour")
-    path = _run(spark, stream)
-    return sinks.latest(spark, path, ["bucket_start"], stream.schema)
+    return _current(spark, stream, ["bucket_start"])
 
 
 @register("""SELECT CAST(user_id AS VARCHAR) AS key, CAST(min(d) AS VARCHAR) AS start, CAST(max(d) + 1 AS VARCHAR) AS "end",
@@ -466,7 +464,8 @@ FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events) GROUP BY user_
 def stream_coverage(spark, sf):
     """Running coverage and gap flag per user from a stream."""
     facts = _stream(spark, sf).select("user_id", F.to_date("ts").alias("day"))
-    path = _run(spark, live_coverage.track(facts, "user_id", "day"))
+    path = shared_folder(spark, "stream")
+    live_coverage.follow(facts, "user_id", "day", path, shared_folder(spark, "state")).awaitTermination()
     return live_coverage.read(spark, path)
 
 
@@ -481,14 +480,9 @@ def stream_unread(spark, sf):
         F.when(kind == "error", "error").when(kind == "click", "warning").otherwise("info").alias("severity"),
         F.when(kind == "view", (F.col("event_id") - 5).cast("string")).alias("reference"),
     )
-    stream = live_events.read_state(log)
-    path = _run(spark, stream)
-    now = sinks.latest(spark, path, ["event_id"], stream.schema)
-    return (
-        now.where("severity is not null and not acknowledged")
-        .groupBy("severity")
-        .agg(F.count("*").alias("unread"))
-    )
+    path = shared_folder(spark, "stream")
+    live_events.follow(log, path, shared_folder(spark, "state")).awaitTermination()
+    return live_events.unread(spark, path).groupBy("severity").agg(F.count("*").alias("unread"))
 
 
 def _answers(spark, sf, arrival: int, value="value", asked="user_id"):

@@ -174,8 +174,8 @@ def memory_stream(spark, root, df, name):
 def test_running_coverage(spark, root):
     items = [("A", "07-01"), ("A", "07-02"), ("A", "07-04"), ("B", "07-01"), ("B", "07-02")]
     df = spark.createDataFrame([(k, d(x)) for k, x in items], "k string, day date").repartition(3, "day")
-    stream = coverage.track(memory_stream(spark, root, df, "facts"), "k", "day")
-    sinks.write_batches(stream, f"{root}/out", f"{root}/state").awaitTermination()
+    stream = memory_stream(spark, root, df, "facts")
+    coverage.follow(stream, "k", "day", f"{root}/out", f"{root}/state").awaitTermination()
     assert rows(coverage.read(spark, f"{root}/out")) == [
         ("A", d("07-01"), d("07-05"), 3, True),
         ("B", d("07-01"), d("07-03"), 2, False),
@@ -190,8 +190,8 @@ def test_acknowledgements_arrive_later(spark, root):
     joined = events.with_acknowledgements(
         memory_stream(spark, root, left.repartition(1).sortWithinPartitions("ts"), "events"),
         memory_stream(spark, root, right.repartition(1).sortWithinPartitions("acked_at"), "acks"),
-        "10 minutes",
         "1 day",
+        "10 minutes",
     )
     sinks.write_batches(joined, f"{root}/out", f"{root}/state", "append").awaitTermination()
     # read the records back without the batch folder
@@ -204,10 +204,28 @@ def test_unread_state(spark, root):
         [("e1", "task", "error", None), ("e2", "task", "info", None), ("k", "acknowledgement", "info", "e1")],
         "event_id string, kind string, severity string, reference string",
     )
-    stream = events.read_state(memory_stream(spark, root, log.repartition(3), "log"))
-    sinks.write_batches(stream, f"{root}/out", f"{root}/state").awaitTermination()
-    got = sinks.latest(spark, f"{root}/out", ["event_id"], stream.schema)
-    assert rows(got) == [("e1", "error", True), ("e2", "info", False)]
+    events.follow(memory_stream(spark, root, log.repartition(3), "log"), f"{root}/out", f"{root}/state").awaitTermination()
+    assert rows(events.unread(spark, f"{root}/out")) == [("e2", "info")]
+
+
+def test_upserts_touch_only_their_buckets(spark, root):
+    at = f"{root}/table"
+    frame = lambda *items: spark.createDataFrame(items, "k int, v string")
+    schema = frame((1, "a")).schema
+    files = lambda: {f.split("/")[-2]: f for f in sinks.current(spark, at, schema).inputFiles()}
+    assert sinks.current(spark, at, schema).isEmpty()
+    sinks.upsert(frame(*[(i, "old") for i in range(40)], (None, "old")), 0, at, ["k"], buckets=8)
+    before = files()
+    assert len(before) == 8
+    sinks.upsert(frame((3, "new"), (None, "new")), 1, at, ["k"], buckets=8)
+    sinks.upsert(frame((3, "new"), (None, "new")), 1, at, ["k"], buckets=8)  # again, as after a failure
+    after = files()
+    assert len(after) == 8 and 0 < sum(after[b] != before[b] for b in after) <= 2
+    want = {(i, "new" if i in (3, None) else "old") for i in [*range(40), None]}
+    assert {tuple(r) for r in sinks.current(spark, at, schema).collect()} == want
+    for n in range(2, 5):
+        sinks.upsert(frame((3, f"v{n}")), n, at, ["k"], buckets=8)
+    assert len(files()) == 8 and ("v4",) in rows(sinks.current(spark, at, schema).where("k = 3"), "v")
 
 
 def test_activity_and_bursts(spark, root):
