@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from covspark.functions.dates import daily_window_at, market_clock
 from covspark.operators import ordered
+from covspark.streaming import sinks
 
 
 def _watermarked(events: DataFrame, time: str, delay: str) -> DataFrame:
@@ -33,7 +36,8 @@ def bursts(
 ) -> DataFrame:
     """Session windows: runs of a user's events with pauses below ``gap``.
 
-    Meant for streams; over a finished table ``finished_bursts`` spreads a busy user.
+    Rows behind the watermark are dropped and a user's rows of a batch share a task; see
+    ``follow_bursts`` for a stream without either, and ``finished_bursts`` for a finished table.
     """
     if delay:
         events = _watermarked(events, time, delay)
@@ -74,6 +78,52 @@ def finished_bursts(
     )
 
 
+# Bursts of a stream are kept as cells: what a user did within one stretch of ``gap`` is one burst at any
+# rate. A cell is a plain partial aggregate, so a busy user is reduced on every task, and cells of
+# different batches, however late, just add up.
+
+
+def cells(events: DataFrame, time: str, by: str, gap_seconds: int) -> DataFrame:
+    """by, cell, first, last and number of events of every stretch of ``gap_seconds`` with some."""
+    width = F.lit(gap_seconds * 1_000_000)
+    timed = events.where(F.col(time).isNotNull()).withColumn("_us", elapsed("MICROSECOND", time))
+    return timed.groupBy(by, F.floor(F.col("_us") / width).alias("cell")).agg(
+        F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("events")
+    )
+
+
+def follow_bursts(
+    events: DataFrame, time: str, by: str, gap_seconds: int, path: str, checkpoint: str, **trigger
+) -> StreamingQuery:
+    """Keep the cells of a stream in a table; the stream has no state of its own and drops no late row."""
+    merge = {"first": F.min, "last": F.max, "events": F.sum}
+    prepare = lambda batch: cells(batch, time, by, gap_seconds)
+    return sinks.upsert_batches(events, path, checkpoint, [by, "cell"], prepare, merge, **trigger)
+
+
+def bursts_of_cells(kept: DataFrame, by: str, gap_seconds: int) -> DataFrame:
+    """Neighbouring cells joined where their pause is at most the gap, per user and day and then across days."""
+    us = {c: elapsed("MICROSECOND", c).alias(f"_{c}") for c in ("first", "last")}
+    runs = ordered.runs(
+        kept.select("*", *us.values()),
+        [by],
+        ["cell"],
+        F.floor(F.col("cell") * gap_seconds / 86_400),
+        ["_first", "_last"],
+        lambda previous, current: current["_first"] - previous["_last"] > gap_seconds * 1_000_000,
+    )
+    return (
+        runs.groupBy(by, "run")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events"))
+        .drop("run")
+    )
+
+
+def read_bursts(spark: SparkSession, path: str, schema: T.StructType, by: str, gap_seconds: int) -> DataFrame:
+    """The bursts so far; ``schema`` is that of ``cells``."""
+    return bursts_of_cells(sinks.current(spark, path, schema), by, gap_seconds)
+
+
 def arrival_class(rows: DataFrame, day: str, arrived_utc: str) -> DataFrame:
     """Adds ``arrival``: before, inside or after the publication window of the row's day."""
     return rows.withColumn(

@@ -233,12 +233,15 @@ def activity_window(spark, sf):
     return activity.per_bucket(table(spark, sf, "events"), "ts", "1 hour", "event_type")
 
 
-@register("""
+_BURSTS = """
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last,
   CAST(count(*) AS BIGINT) AS events FROM (
   SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
     SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 4 HOUR
-      THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY user_id, run""")
+      THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY user_id, run"""
+
+
+@register(_BURSTS)
 def activity_bursts(spark, sf):
     """Bursts of activity per user, with pauses of at most four hours."""
     e = table(spark, sf, "events").select("user_id", "ts", "event_id")
@@ -458,6 +461,19 @@ def stream_activity(spark, sf):
     return _current(spark, stream, ["bucket_start"])
 
 
+@register(_BURSTS)
+def stream_bursts(spark, sf):
+    """The same bursts from a stream in which every second event arrives a batch late."""
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id")
+    folder, path, state = (shared_folder(spark, x) for x in ("landed", "stream", "state"))
+    for late in (1, 0):
+        e.where(F.col("event_id") % 2 == late).write.mode("append").parquet(folder)
+        landed = spark.readStream.schema(e.schema).parquet(folder)
+        activity.follow_bursts(landed, "ts", "user_id", 4 * 3600, path, state).awaitTermination()
+    schema = activity.cells(e, "ts", "user_id", 4 * 3600).schema
+    return activity.read_bursts(spark, path, schema, "user_id", 4 * 3600)
+
+
 @register("""SELECT CAST(user_id AS VARCHAR) AS key, CAST(min(d) AS VARCHAR) AS start, CAST(max(d) + 1 AS VARCHAR) AS "end",
   CAST(count(*) AS BIGINT) AS days, count(*) <> max(d) - min(d) + 1 AS has_gap
 FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events) GROUP BY user_id""")

@@ -244,6 +244,21 @@ def test_activity_and_bursts(spark, root):
     assert rows(early, "events") == [(1,), (3,)]
 
 
+def test_bursts_from_cells_equal_finished_ones(spark, root):
+    import random
+
+    r = random.Random(6)
+    t0 = datetime(2026, 7, 20, 22)
+    items = [(r.choice(["hot", "hot", "a", None]), t0 + timedelta(seconds=r.randrange(0, 300_000))) for _ in range(400)]
+    items += [("edge", t0 + timedelta(minutes=30 * i)) for i in range(5)]  # pauses of just the gap
+    df = spark.createDataFrame(items, "who string, ts timestamp_ntz")
+    stream = memory_stream(spark, root, df.repartition(3, "ts"), "events")
+    activity.follow_bursts(stream, "ts", "who", 1800, f"{root}/out", f"{root}/state").awaitTermination()
+    got = activity.read_bursts(spark, f"{root}/out", activity.cells(df, "ts", "who", 1800).schema, "who", 1800)
+    want = activity.finished_bursts(df, "ts", "who", ["ts"], 1800)
+    assert rows(got) == rows(want) and ("edge", 5) in rows(got, "who", "events")
+
+
 def test_late_arrivals(spark):
     utc = lambda h: datetime(2026, 7, 20, h, 30)
     df = spark.createDataFrame(
