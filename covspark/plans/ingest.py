@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covspark.functions import dates
-from covspark.operators import calendar as cal
 from covspark.operators import coverage as cov
 from covspark.operators import mutate, validate
 from covspark.operators.intervals import in_scope_join
@@ -170,6 +169,34 @@ def by_date(
     )
 
 
+def index_months(
+    rows: DataFrame, months: DataFrame, spec: DatasetSpec, coverage: DataFrame, on_gap: str = "error"
+) -> Ingest:
+    """Whole months of index members, each answering one (key, month, window) of ``work.index_months``.
+
+    Every asked month is replaced as a whole and covered, with or without rows: the current month
+    may still be empty. Under the strict policy a month without rows is a failure. A month before its
+    publication window can't be published, nor can rows of a month that nobody asked for.
+    """
+    asked = months.select("key", F.col("month").alias("start"), F.add_months("month", 1).alias("end"), "window").distinct()
+    scopes = asked.select("key", "start", "end")
+    early = asked.where(F.col("window") == dates.BEFORE).select("key", "start", "end", F.lit("before window").alias("status"))
+    month = dates.month(F.col(spec.time_field)).alias("start")
+    answered = rows.groupBy(F.col(spec.partition_key).alias("key"), month).agg(F.count("*").alias("rows"))
+    met = scopes.join(answered, ["key", "start"], "full_outer")
+    foreign = met.where("end IS NULL").select("key", "start", F.add_months("start", 1).alias("end"), F.lit("not asked for").alias("status"))
+    problems = early.unionByName(foreign)
+    if spec.policy == "strict":
+        empty = met.where("rows IS NULL").select("key", "start", "end", F.lit(work.FAILURE).alias("status"))
+        problems = problems.unionByName(empty)
+    return Ingest(
+        Mutation.ranges(rows.select(*spec.columns), scopes),
+        cov.merge(coverage, scopes, on_gap),
+        problems,
+        holes=_holes(coverage, scopes, on_gap),
+    )
+
+
 def market_scopes(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
     """(key, day, day+1) for every key each day's answer contained."""
     day = F.col(spec.time_field)
@@ -248,7 +275,3 @@ def upsert(rows: DataFrame, requests: DataFrame, spec: DatasetSpec) -> Ingest:
     """One exact answer per requested id, replaced by primary key."""
     problems = validate.exact_match(requests, rows, spec.primary_key[0])
     return Ingest(Mutation.primary_keys(rows.select(*spec.columns)), None, problems)
-
-
-def due_open_dates(calendar_rows: DataFrame, jobs: DataFrame, exchanges=None) -> DataFrame:
-    return cal.open_dates_in(calendar_rows, jobs, exchanges)

@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from covspark.functions import dates
 from covspark.operators import coverage as cov
@@ -142,3 +143,43 @@ def preview(
             F.col("jobs")
         ),
     )
+
+
+def sliced(jobs: DataFrame, limit: int, open_dates: DataFrame | None = None) -> DataFrame:
+    """(key, start, end, dates): jobs cut where a piece would ask for more than ``limit`` open dates.
+
+    A piece holds as many dates as rows of one key can come back. Open dates are numbered once over
+    all time; a job's first and last number say how many pieces it makes and where they begin, so
+    no job meets its days. Pieces tile the job. Without a calendar every day is a date.
+    """
+    if limit < 1:
+        raise ValueError("need limit >= 1")
+    jobs = jobs.select("key", "start", "end").where("start < end").distinct()
+    cut = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(n / limit), F.lit(1)) - 1))
+    if open_dates is None:
+        days = F.datediff("end", "start")
+        pieces = jobs.select("*", cut(days).alias("_k"))
+        start = F.date_add("start", (F.col("_k") * limit).cast("int"))
+        end = F.least("end", F.date_add("start", ((F.col("_k") + 1) * limit).cast("int")))
+        return pieces.select("key", start.alias("start"), end.alias("end"), F.datediff(end, start).cast("bigint").alias("dates"))
+    # one row per civil date that is open or at an edge of a job, with the open dates before it
+    edges = jobs.select(F.explode(F.array("start", "end")).alias("_day"), F.lit(0).alias("_open"))
+    opened = open_dates.where("cal_date IS NOT NULL").select(F.col("cal_date").alias("_day"), F.lit(1).alias("_open"))
+    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    numbers = (
+        opened.unionByName(edges)
+        .groupBy("_day")
+        .agg(F.max("_open").alias("_open"))
+        .withColumn("_before", F.coalesce(F.sum("_open").over(earlier), F.lit(0)))
+    )
+    at = lambda name, n: numbers.select(F.col("_day").alias(name), F.col("_before").alias(n))
+    placed = jobs.join(at("start", "_lo"), "start").join(at("end", "_hi"), "end")
+    pieces = placed.select("*", cut(F.col("_hi") - F.col("_lo")).alias("_k"))
+    begins = pieces.withColumn("_before", F.when(F.col("_k") > 0, F.col("_lo") + F.col("_k") * limit))
+    dated = numbers.where("_open = 1").select("_before", "_day")
+    begins = begins.join(dated, "_before", "left").withColumn("_from", F.coalesce("_day", "start"))
+    along = Window.partitionBy("key", "start", "end").orderBy("_k")
+    end = F.coalesce(F.lead("_from").over(along), F.col("end"))
+    count = F.least(F.lit(limit).cast("bigint"), F.col("_hi") - F.col("_lo") - F.col("_k") * limit)
+    cut_up = begins.select("key", F.col("_from").alias("_start"), end.alias("_end"), count.alias("dates"))
+    return cut_up.select("key", F.col("_start").alias("start"), F.col("_end").alias("end"), "dates")

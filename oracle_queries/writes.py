@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from covspark.functions import selectors
 from covspark.functions.requests import canonical_list, request_key
+from covspark.operators import calendar as cal
 from covspark.operators import members, mutate, validate
 from covspark.operators import coverage as cov
 from covspark.operators import ordered
 from covspark.operators.mutate import Mutation
-from covspark.plans import batches, ingest, work
+from covspark.plans import batches, ingest, maintain, work
 from covspark.sources import envelope
-from covspark.spec import DatasetSpec, fields
+from covspark.spec import INDEX_WEIGHT, DatasetSpec, fields
 from oracle_queries import data
 from oracle_queries.data import CALENDAR_SQL, DAYS_SQL, EVENTS_SQL, WEIGHTS_SQL, hull_sql
 from oracle_queries.registry import register, table
@@ -474,7 +475,7 @@ SELECT CAST(key_requests AS BIGINT) AS key_requests, CAST(market_requests AS BIG
 def work_shape(spark, sf):
     """Requests per key against market-wide requests per open date."""
     jobs = _jobs(spark, sf)
-    return work.shape_counts(jobs, ingest.due_open_dates(data.calendar(spark, sf), jobs))
+    return work.shape_counts(jobs, cal.open_dates_in(data.calendar(spark, sf), jobs))
 
 
 @register(f"""WITH {_JOBS}
@@ -566,7 +567,7 @@ q AS (SELECT key, CAST(date_trunc('month', s) AS DATE) AS s,
   CAST(date_trunc('month', e - 1) + INTERVAL 1 MONTH AS DATE) AS e FROM req),
 k AS (SELECT 'S' || l_suppkey AS key, CAST(date_trunc('month', min(l_shipdate)) AS DATE) AS cs,
   CAST(date_trunc('month', max(l_shipdate)) + INTERVAL 1 MONTH AS DATE) AS ce FROM lineitem
-  WHERE l_shipdate >= DATE '1996-06-01' AND l_shipdate < DATE '1997-06-01' GROUP BY l_suppkey),
+  WHERE l_linenumber = 6 AND l_discount > 0.08 GROUP BY l_suppkey),
 g AS (SELECT q.key, q.s AS a, coalesce(k.cs, q.e) AS b FROM q LEFT JOIN k ON q.key = k.key WHERE k.cs IS NULL OR q.s < k.cs
   UNION ALL SELECT q.key, k.ce, q.e FROM q JOIN k ON q.key = k.key WHERE q.e > k.ce)"""
 
@@ -590,7 +591,7 @@ def index_months(spark, sf):
     ship = F.to_date("l_shipdate")
     held = (
         table(spark, sf, "lineitem")
-        .where((F.col("l_shipdate") >= F.lit("1996-06-01")) & (F.col("l_shipdate") < F.lit("1997-06-01")))
+        .where("l_linenumber = 6 AND l_discount > 0.08")
         .groupBy(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("key"))
         .agg(
             F.trunc(F.min(ship), "MM").alias("start"),
@@ -868,3 +869,160 @@ def master_snapshot(spark, sf):
     )
     plan = ingest.snapshot(rows, spec, ["c_nationkey"], ["c_custkey"], row_limit=10**9)
     return mutate.apply(None, [plan.mutation], spec)
+
+
+# maintenance operations from selectors to requests
+
+_LIMIT = """t AS (SELECT key, start, "end", d, (row_number() OVER (PARTITION BY key, start, "end" ORDER BY d) - 1) // {limit} AS p
+  FROM jobs LEFT JOIN o ON d >= start AND d < "end"),
+u AS (SELECT key, start, "end", coalesce(p, 0) AS p, min(d) AS f, count(d) AS n FROM t GROUP BY 1, 2, 3, 4),
+pieces AS (SELECT key, CASE WHEN p = 0 THEN start ELSE f END AS start,
+  coalesce(lead(f) OVER (PARTITION BY key, start, "end" ORDER BY p), "end") AS "end", n FROM u)"""
+
+
+@register(f"""WITH days AS ({DAYS_SQL}), c AS ({CALENDAR_SQL}), {_JOBS}, o AS (SELECT DISTINCT cal_date AS d FROM c WHERE is_open),
+{_LIMIT.format(limit=4)}
+SELECT key, CAST(start AS VARCHAR) AS start, CAST("end" AS VARCHAR) AS "end", CAST(n AS BIGINT) AS dates FROM pieces""")
+def sliced_requests(spark, sf):
+    """Continuity work cut into requests of at most four open dates."""
+    return work.sliced(_jobs(spark, sf), 4, cal.open_dates(data.calendar(spark, sf)))
+
+
+def _ship_calendar(spark, sf):
+    """Both exchanges over all civil days of shipping, open on weekdays."""
+    ship = F.to_date("l_shipdate")
+    span = table(spark, sf, "lineitem").agg(F.min(ship).alias("a"), F.max(ship).alias("b"))
+    days = span.select(F.explode(F.sequence("a", "b")).alias("cal_date"))
+    exchanges = F.explode(F.array(F.lit("SSE"), F.lit("SZSE"))).alias("exchange")
+    return days.select(exchanges, "cal_date").withColumn("is_open", F.weekday("cal_date") < 5)
+
+
+def _part_coverage(spark, sf):
+    first = table(spark, sf, "lineitem").where("l_linenumber = 1").select(
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("part"), F.to_date("l_shipdate").alias("day")
+    )
+    return cov.derive(first, "part", "day")
+
+
+def _nation_weights(spark, sf):
+    suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    return (
+        table(spark, sf, "lineitem")
+        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .select(
+            F.concat(F.lit("S"), F.col("s_nationkey").cast("string"), F.lit(".XX")).alias("index_code"),
+            F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("con_code"),
+            F.to_date("l_shipdate").alias("trade_date"),
+        )
+    )
+
+
+_PARTS = """k AS (SELECT 'P' || l_partkey AS key, min(CAST(l_shipdate AS DATE)) AS cs, max(CAST(l_shipdate AS DATE)) + 1 AS ce
+  FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)"""
+_OPEN = """o AS (SELECT d FROM (SELECT CAST(unnest(generate_series((SELECT CAST(min(l_shipdate) AS DATE) FROM lineitem),
+  (SELECT CAST(max(l_shipdate) AS DATE) FROM lineitem), INTERVAL 1 DAY)) AS DATE) AS d) WHERE isodow(d) < 6)"""
+
+
+def _symbols_sql(start: str, end: str) -> str:
+    """Keys that the selectors of all customers stand for over a range."""
+    return f"""w AS (SELECT DISTINCT 'S' || s_nationkey || '.XX' AS i, 'P' || l_partkey AS c, CAST(l_shipdate AS DATE) AS d
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+sel AS (SELECT 'S' || c_nationkey || '.XX' AS i, c_mktsegment AS m,
+  CASE c_mktsegment WHEN 'AUTOMOBILE' THEN DATE '{start}' WHEN 'MACHINERY' THEN DATE '{end}' - 1 ELSE DATE '1997-02-01' END AS s,
+  CASE c_mktsegment WHEN 'HOUSEHOLD' THEN DATE '1997-03-01' ELSE DATE '{end}' END AS e
+  FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'MACHINERY', 'HOUSEHOLD')),
+r AS (SELECT i, min(s) AS s, max(e) AS e, bool_or(m = 'AUTOMOBILE') AS u FROM sel GROUP BY i),
+pt AS (SELECT r.i, r.e, r.u, max(w.d) FILTER (w.d <= r.s) AS f, max(w.d) AS l FROM r JOIN w
+  ON w.i = r.i AND w.d < r.e GROUP BY r.i, r.e, r.u),
+sym AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') || '.SZ' AS key FROM customer WHERE c_mktsegment = 'BUILDING'
+  UNION SELECT w.c FROM pt JOIN w ON w.i = pt.i AND w.d < pt.e AND w.d >= CASE WHEN pt.u THEN pt.f ELSE pt.l END),
+q AS (SELECT key, DATE '{start}' AS s, DATE '{end}' AS e FROM sym)"""
+
+
+_CONTINUITY = """jobs AS (SELECT q.key, s AS start, coalesce(cs, e) AS "end" FROM q LEFT JOIN k ON k.key = q.key WHERE cs IS NULL OR s < cs
+  UNION ALL SELECT q.key, ce, e FROM q JOIN k ON k.key = q.key WHERE e > ce)"""
+_SHAPED = """od AS (SELECT d FROM o WHERE EXISTS (SELECT 1 FROM jobs WHERE d >= start AND d < "end")),
+sh AS (SELECT (SELECT count(*) FROM od) AS dates, (SELECT count(*) FROM jobs) AS n),
+m AS (SELECT dates > 0 AND dates < n AS market FROM sh)
+SELECT 'market' AS shape, NULL AS key, CAST(d AS VARCHAR) AS start, CAST(d + 1 AS VARCHAR) AS "end" FROM od, m WHERE market
+UNION ALL SELECT 'per-key', key, CAST(start AS VARCHAR), CAST("end" AS VARCHAR) FROM pieces, m WHERE NOT market"""
+
+
+def _shanghai(*clock):
+    from datetime import datetime
+    from zoneinfo import ZoneInfo
+
+    return datetime(*clock, tzinfo=ZoneInfo("Asia/Shanghai"))
+
+
+@register(f"""WITH {_PARTS}, {_OPEN}, {_symbols_sql('1998-01-01', '1998-01-20')}, {_CONTINUITY}, {_LIMIT.format(limit=250)}, {_SHAPED}""")
+def maintain_complete(spark, sf):
+    """Selectors of all customers to requests; the day's window hasn't opened, so its date isn't due."""
+    return maintain.plan(
+        maintain.COMPLETE, _selectors(spark, sf), (date(1998, 1, 1), date(1998, 1, 21)), _shanghai(1998, 1, 20, 10),
+        _part_coverage(spark, sf), _ship_calendar(spark, sf), _nation_weights(spark, sf), row_limit=250,
+    ).work
+
+
+@register(f"""WITH {_PARTS}, {_symbols_sql('1997-06-01', '1998-01-21')},
+z AS (SELECT q.*, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS n FROM q)
+SELECT 'request' AS what, key, CAST(s + n * 30 AS VARCHAR) AS start, CAST(least(s + n * 30 + 30, e) AS VARCHAR) AS "end" FROM z
+  WHERE s + n * 30 < e
+UNION ALL SELECT 'outside coverage', q.key, NULL, NULL FROM q LEFT JOIN k ON k.key = q.key WHERE cs IS NULL OR s < cs OR e > ce
+UNION ALL SELECT DISTINCT 'no master row', 'S' || c_nationkey || '.XX', NULL, NULL FROM customer
+  WHERE c_nationkey >= 20 AND c_mktsegment IN ('AUTOMOBILE', 'MACHINERY', 'HOUSEHOLD')
+UNION ALL SELECT DISTINCT 'invalid selector', 'tushare:S' || c_nationkey || '.XX@199713', NULL, NULL FROM customer
+  WHERE c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY', 'HOUSEHOLD')""")
+def maintain_refresh(spark, sf):
+    """A covered range again, a month a request, with the keys and selectors that forbid it."""
+    masters = table(spark, sf, "nation").where("n_nationkey < 20").select(
+        F.concat(F.lit("S"), F.col("n_nationkey").cast("string"), F.lit(".XX")).alias("ts_code")
+    )
+    made = maintain.plan(
+        maintain.REFRESH, _selectors(spark, sf), (date(1997, 6, 1), date(1998, 1, 21)), _shanghai(1998, 3, 1, 12),
+        _part_coverage(spark, sf), weights=_nation_weights(spark, sf), masters=masters, row_limit=30,
+    )
+    none = F.lit(None).cast("date")
+    return made.work.select(F.lit("request").alias("what"), "key", "start", "end").unionByName(
+        made.problems.select(F.col("problem").alias("what"), F.col("subject").alias("key"), none.alias("start"), none.alias("end"))
+    )
+
+
+@register(f"""WITH {_PARTS}, {_OPEN},
+q AS (SELECT key, DATE '1998-01-20' AS s, DATE '1998-01-21' AS e FROM (SELECT key FROM k UNION SELECT '000001.SZ')),
+{_CONTINUITY}, {_LIMIT.format(limit=250)}, {_SHAPED}""")
+def maintain_update(spark, sf):
+    """Today for every covered key and one more, joined up to what is covered."""
+    return maintain.plan(
+        maintain.UPDATE, ["stored", "000001.SZ"], None, _shanghai(1998, 1, 20, 16),
+        _part_coverage(spark, sf), _ship_calendar(spark, sf), row_limit=250,
+    ).work
+
+
+@register(f"""WITH w AS ({WEIGHTS_SQL}),
+n AS (SELECT index_code, CAST(date_trunc('month', trade_date) AS DATE) AS m, con_code, trade_date, weight FROM w
+  QUALIFY trade_date = max(trade_date) OVER (PARTITION BY index_code, date_trunc('month', trade_date))),
+k AS (SELECT index_code, min(m) AS cs, max(m) + INTERVAL 1 MONTH AS ce FROM n WHERE m < DATE '1997-01-01' GROUP BY 1),
+a AS (SELECT n.*, m < DATE '1998-11-01' AND (m >= DATE '1996-11-01' AND (cs IS NULL OR m < cs) OR m >= ce OR m = DATE '1998-10-01')
+  AS asked FROM n LEFT JOIN k USING (index_code))
+SELECT index_code, CAST(m AS VARCHAR) AS effective_month, con_code, CAST(trade_date AS VARCHAR) AS trade_date,
+  CAST(weight AS DOUBLE) + CASE WHEN coalesce(asked, FALSE) THEN 0 ELSE 1 END AS weight FROM a
+WHERE coalesce(asked, FALSE) OR m < DATE '1997-01-01'""")
+def index_month_ingest(spark, sf):
+    """Missing months and the current one replaced as a whole; older months keep their rows."""
+    now = _shanghai(1998, 10, 5, 12)
+    spec = INDEX_WEIGHT
+    rows = spec.normalize(data.weights(spark, sf)).select(*spec.columns)
+    base = rows.where("effective_month < DATE'1997-01-01'").withColumn("weight", F.col("weight") + 1)
+    held = base.groupBy(F.col("index_code").alias("key")).agg(
+        F.min("effective_month").alias("start"), F.add_months(F.max("effective_month"), 1).alias("end")
+    )
+    asked = rows.select(F.col("index_code").alias("key")).distinct().select(
+        "key", F.lit(date(1996, 11, 15)).alias("start"), F.lit(date(1998, 10, 20)).alias("end")
+    )
+    months = work.index_months(asked, held, now)
+    answers = rows.join(
+        months.select(F.col("key").alias("index_code"), F.col("month").alias("effective_month")), ["index_code", "effective_month"], "left_semi"
+    ).select(*spec.columns)
+    plan = ingest.index_months(answers, months, spec, held)
+    return mutate.apply(base, [plan.mutation], spec)
