@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covspark.errors import OperandError
@@ -55,6 +55,11 @@ def _texts(spark: SparkSession, selectors: Sequence[str] | DataFrame) -> DataFra
     return spark.createDataFrame([(s,) for s in dict.fromkeys(selectors)], "selector string")
 
 
+def _said(column: str, value: str) -> Column:
+    """``value`` in every row, but told from a column: a join on it stays an equality join."""
+    return F.when(F.length(F.col(column).cast("string")) >= 0, value)
+
+
 def due_range(
     operation: str, requested: tuple[date, date] | None, now: datetime, use_window: bool = True
 ) -> tuple[date, date] | None:
@@ -118,7 +123,7 @@ def plan(
 
     # one row if the selector is there, so small whatever the coverage
     asks_stored = F.broadcast(texts.where(F.col("selector") == STORED).select(F.col("selector").alias("_stored")).limit(1))
-    stored = coverage.select("key", F.lit(STORED).alias("_stored")).join(asks_stored, "_stored", "left_semi").select("key")
+    stored = coverage.select("key", _said("key", STORED).alias("_stored")).join(asks_stored, "_stored", "left_semi").select("key")
     if weights is None:
         direct = parsed.where(F.col("s.kind") == "security").select(F.col("s.code").alias("key"))
     else:
@@ -186,10 +191,10 @@ def _shaped(jobs: DataFrame, calendar: DataFrame, row_limit: int | None) -> Data
         F.min("a").alias("a"),
         F.max("b").alias("b"),
     )
-    # civil dates bound the calendar: the one row meets them by a key of its own
-    one = F.broadcast(counts.withColumn("_one", F.lit(1)))
+    # the one row meets the calendar's civil dates
+    one = F.broadcast(counts.withColumn("_one", _said("jobs", "one")))
     complete = (
-        each.withColumn("_one", F.lit(1))
+        each.withColumn("_one", _said("exchange", "one"))
         .join(one, "_one")
         .groupBy("jobs", "dates", "a", "b")
         .agg(F.count_if((F.col("cal_date") >= F.col("a")) & (F.col("cal_date") < F.col("b"))).alias("have"))
@@ -197,7 +202,7 @@ def _shaped(jobs: DataFrame, calendar: DataFrame, row_limit: int | None) -> Data
     cheaper = (F.col("dates") > 0) & (F.col("dates") < F.col("jobs"))
     whole = F.col("have") == F.datediff("b", "a") * len(EXCHANGES)
     # without a calendar row there is no row here: per key is what then remains
-    shape = F.broadcast(complete.where(cheaper & whole).select(F.lit(work.MARKET).alias("shape")))
-    single = _sliced(jobs, row_limit, cal.open_dates(calendar)).withColumn("_market", F.lit(work.MARKET))
-    per_key = single.join(shape.withColumnRenamed("shape", "_market"), "_market", "left_anti").drop("_market")
-    return per_key.unionByName(_market(days).join(shape, "shape", "left_semi"))
+    market = F.broadcast(complete.where(cheaper & whole).select(_said("jobs", work.MARKET).alias("_market")))
+    marked = lambda df: df.withColumn("_market", _said("start", work.MARKET))
+    per_key = marked(_sliced(jobs, row_limit, cal.open_dates(calendar))).join(market, "_market", "left_anti")
+    return per_key.unionByName(marked(_market(days)).join(market, "_market", "left_semi")).drop("_market")

@@ -969,6 +969,8 @@ z AS (SELECT q.*, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS n FROM q)
 SELECT 'request' AS what, key, CAST(s + n * 30 AS VARCHAR) AS start, CAST(least(s + n * 30 + 30, e) AS VARCHAR) AS "end" FROM z
   WHERE s + n * 30 < e
 UNION ALL SELECT 'outside coverage', q.key, NULL, NULL FROM q LEFT JOIN k ON k.key = q.key WHERE cs IS NULL OR s < cs OR e > ce
+UNION ALL SELECT CASE WHEN l IS NULL THEN 'no snapshot before end' ELSE 'no snapshot on or before start' END, r.i, NULL, NULL
+  FROM r LEFT JOIN pt ON pt.i = r.i WHERE l IS NULL OR r.u AND f IS NULL
 UNION ALL SELECT DISTINCT 'no master row', 'S' || c_nationkey || '.XX', NULL, NULL FROM customer
   WHERE c_nationkey >= 20 AND c_mktsegment IN ('AUTOMOBILE', 'MACHINERY', 'HOUSEHOLD')
 UNION ALL SELECT DISTINCT 'invalid selector', 'tushare:S' || c_nationkey || '.XX@199713', NULL, NULL FROM customer
