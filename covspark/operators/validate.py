@@ -84,14 +84,18 @@ def coverage(df: DataFrame) -> DataFrame:
 
 
 def exact_match(requests: DataFrame, rows: DataFrame, id_column: str) -> DataFrame:
-    """Requests (request_id, wanted) not answered by exactly the one wanted id."""
-    answers = rows.groupBy("request_id").agg(
-        F.count("*").alias("rows"), F.min(id_column).alias("returned")
-    )
-    return (
-        requests.join(answers, "request_id", "left")
-        .where(~F.coalesce((F.col("rows") == 1) & (F.col("returned") == F.col("wanted")), F.lit(False)))
-        .select("request_id", "wanted", F.coalesce("rows", F.lit(0)).alias("rows"))
+    """Requests (request_id, wanted) not answered by exactly the one wanted id, and answers to no request.
+
+    ``rows`` came back, ``hits`` of them with the wanted id; an answer nobody asked for has no
+    ``wanted``. Counts are taken per request and id before the match.
+    """
+    hits = rows.groupBy("request_id", F.col(id_column).alias("wanted")).agg(F.count("*").alias("hits"))
+    counts = hits.groupBy("request_id").agg(F.sum("hits").alias("rows"))
+    asked = requests.select("request_id", "wanted", F.lit(True).alias("_asked"))
+    met = asked.join(counts, "request_id", "full_outer").join(hits, ["request_id", "wanted"], "left")
+    exact = F.col("_asked") & (F.col("rows") == 1) & (F.col("hits") == 1)
+    return met.where(~F.coalesce(exact, F.lit(False))).select(
+        "request_id", "wanted", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("hits", F.lit(0)).alias("hits")
     )
 
 

@@ -122,18 +122,18 @@ def apply_sequence(spark, sf):
 
 
 @register("""
-WITH i AS (SELECT c_nationkey, c_custkey AS pos, c_name, c_acctbal FROM customer
-  UNION ALL SELECT n_nationkey, -1, n_name, 0.0 FROM nation)
+WITH i AS (SELECT c_nationkey, c_custkey AS pos, c_name, c_acctbal FROM customer WHERE c_nationkey % 3 <> 1
+  UNION ALL SELECT n_nationkey, -1, n_name, 0.0 FROM nation WHERE n_nationkey % 5 <> 2)
 SELECT c_nationkey, arg_max(c_name, pos) AS c_name, arg_max(c_acctbal, pos) AS c_acctbal FROM i
 GROUP BY c_nationkey""")
 def merge_last_wins(spark, sf):
-    """Union by key where incoming rows, and among them later ones, win."""
-    base = table(spark, sf, "nation").select(
+    """Union by key where incoming rows, and among them later ones, win; some keys are only old or only new."""
+    base = table(spark, sf, "nation").where("n_nationkey % 5 <> 2").select(
         F.col("n_nationkey").alias("c_nationkey"),
         F.col("n_name").alias("c_name"),
         F.lit(0.0).alias("c_acctbal"),
     )
-    rows = table(spark, sf, "customer").select("c_nationkey", "c_name", "c_acctbal", "c_custkey")
+    rows = table(spark, sf, "customer").where("c_nationkey % 3 <> 1").select("c_nationkey", "c_name", "c_acctbal", "c_custkey")
     return mutate.merge_last_wins(base, rows, ["c_nationkey"], "c_custkey")
 
 
@@ -306,8 +306,9 @@ _REQ = """r AS (SELECT 'S' || s_suppkey AS index_code, DATE '1994-12-25' + s_nat
 
 
 @register(f"""WITH w AS ({WEIGHTS_SQL}), {_REQ},
-p AS (SELECT r.index_code, r.e, max(w.trade_date) AS d FROM r JOIN w ON w.index_code = r.index_code
-  AND w.trade_date < r.e GROUP BY r.index_code, r.e)
+d AS (SELECT DISTINCT 'S' || l_suppkey AS index_code, CAST(l_shipdate AS DATE) AS trade_date FROM lineitem),
+p AS (SELECT r.index_code, r.e, max(d.trade_date) FILTER (d.trade_date < r.e) AS d FROM r JOIN d ON d.index_code = r.index_code
+  GROUP BY r.index_code, r.e)
 SELECT p.index_code, CAST(p.e AS VARCHAR) AS "end", w.con_code AS symbol FROM p JOIN w
   ON w.index_code = p.index_code AND w.trade_date = p.d""")
 def members_latest(spark, sf):
@@ -613,18 +614,25 @@ def missing_references(spark, sf):
 
 
 @register("""
-WITH a AS (SELECT c_nationkey AS k, count(*) AS n, min(c_name) AS r FROM customer WHERE c_acctbal > 9000.0 GROUP BY 1)
-SELECT n_nationkey AS request_id, n_name AS wanted, CAST(coalesce(n, 0) AS BIGINT) AS rows FROM nation
-LEFT JOIN a ON k = n_nationkey WHERE NOT coalesce(n = 1 AND r = n_name, FALSE)""")
+WITH a AS (SELECT CASE WHEN s_suppkey % 13 = 4 THEN -s_suppkey ELSE s_suppkey END AS k,
+    CASE WHEN s_suppkey % 11 = 3 THEN 'other' ELSE s_name END AS name, unnest(CASE WHEN s_suppkey % 7 = 2 THEN [1, 2] ELSE [1] END) AS i
+  FROM supplier WHERE s_suppkey % 5 <> 1),
+n AS (SELECT k, count(*) AS n, count(*) FILTER (name = s_name) AS hits FROM a LEFT JOIN supplier ON s_suppkey = k GROUP BY 1)
+SELECT CAST(coalesce(s_suppkey, k) AS BIGINT) AS request_id, s_name AS wanted, CAST(coalesce(n, 0) AS BIGINT) AS rows,
+  CAST(coalesce(hits, 0) AS BIGINT) AS hits FROM supplier FULL JOIN n ON k = s_suppkey
+WHERE NOT coalesce(n = 1 AND hits = 1 AND s_suppkey IS NOT NULL, FALSE)""")
 def exact_match(spark, sf):
-    """Requests not answered by exactly the one wanted id."""
-    requests = table(spark, sf, "nation").select(
-        F.col("n_nationkey").alias("request_id"), F.col("n_name").alias("wanted")
+    """Requests not answered by exactly the one wanted id, and answers nobody asked for: most suppliers
+    match, some are missing, doubled, named otherwise or come under another request."""
+    supplier = table(spark, sf, "supplier").withColumn("id", F.col("s_suppkey").cast("bigint"))
+    requests = supplier.select(F.col("id").alias("request_id"), F.col("s_name").alias("wanted"))
+    key = F.col("id")
+    rows = supplier.where(key % 5 != 1).select(
+        F.when(key % 13 == 4, -key).otherwise(key).alias("request_id"),
+        F.when(key % 11 == 3, "other").otherwise(F.col("s_name")).alias("name"),
+        F.explode(F.when(key % 7 == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
     )
-    rows = table(spark, sf, "customer").where("c_acctbal > 9000.0").select(
-        F.col("c_nationkey").alias("request_id"), "c_name"
-    )
-    return validate.exact_match(requests, rows, "c_name")
+    return validate.exact_match(requests, rows, "name")
 
 
 @register("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders
