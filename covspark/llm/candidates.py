@@ -16,7 +16,7 @@ def candidates(
 ) -> tuple[DataFrame, DataFrame]:
     """First pairs a < b of the ids of rows (id, keys) that share a key in the same place of ``keys``, and the rows of shared keys.
 
-    The pairs link most of what belongs together; ``untried`` gives the others that can matter.
+    The pairs link most of what belongs together; ``crossed`` gives more for keys of many classes.
 
     Keys of one row go at once. Every other row is paired with its key's centre, the row that meets
     most others over all its keys: near copies of one text are nearer to that than to each other.
@@ -55,56 +55,52 @@ def candidates(
     return pairs.join(one, "a").join(two, "b").where(fits(F.col("x"), F.col("y"))).select("a", "b"), ranked
 
 
-def untried(
+def crossed(
     ranked: DataFrame,
     signed: DataFrame,
     pairs: DataFrame,
     roots: DataFrame,
+    bands: int,
+    turns: tuple[int, ...],
     fits: Callable[[Column, Column], Column] | None = None,
-    reach: float | None = None,
-    block: int = 256,
+    part_rows: int = 4096,
 ) -> DataFrame:
-    """All other pairs a < b that share a key and whose rows aren't in one class yet.
+    """Further pairs a < b of rows that share a key and aren't in one class yet, linear in the rows of such keys.
 
     ``ranked`` and ``pairs`` are those of ``candidates``; ``roots`` (node, root) are the classes their
-    links make. With these pairs every two rows of a key are either compared or in one class anyway,
-    so the classes are those of a comparison of each key in full. A key whose rows are one class is
-    done. In other keys the rows outside of the key's largest class meet all rows of other classes,
-    in blocks of about ``block`` rows, so no task gets a whole key. The pairs grow with the square
-    of a key's rows only as far as these belong to different classes.
-
-    With ``reach``, ``pairs`` has the similarity and 1 - similarity is a metric: two rows whose
-    distances from their key's centre differ by more than ``reach`` needn't be compared.
+    links make. A key whose rows are one class is done. The rows of other keys are split by the key
+    of another band, each of ``turns`` bands further on, and put in the order of the two bands behind
+    it: the more bands two rows share, the nearer they come to each other, and near copies share
+    more than others. There every row meets the nearest row of another class on either side. So a row
+    has at most two partners a key and turn, whatever the classes; groups of more than ``part_rows``
+    rows are dealt into parts.
     """
-    rows = ranked.where(F.col("n") > 2).select("key", "id", "band", "n", "degree")
+    rows = ranked.where(F.col("n") > 2).select("key", "id", "band")
     rows = rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("degree", "id")).alias("c"))
-    mixed = mixed.where(F.col("low") < F.col("high")).select("key", F.col("c.id").alias("centre"))
-    rows = written(rows.drop("degree").join(mixed, "key"), "mixed")
-    main = rows.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "root")).alias("m"))
-    rows = rows.join(main.select("key", F.col("m.root").alias("main")), "key").join(signed.select("id", "keys"), "id")
-    rows = rows.withColumn("a", F.least("id", "centre")).withColumn("b", F.greatest("id", "centre"))
-    if reach is not None:
-        rows = rows.join(pairs.select("a", "b", "similarity"), ["a", "b"], "left")
-        rows = rows.withColumn("d", F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("similarity"))).drop("similarity")
-    else:
-        rows = rows.withColumn("d", F.lit(None).cast("double"))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    rows = written(rows.select("key", "id", "band", "root", "main", "keys", "d", blocks.alias("blocks")), "mixed")
-    out = rows.where(F.col("root") != F.col("main")).select(
-        "key", "band", F.col("id").alias("x"), F.col("root").alias("xr"), F.col("keys").alias("xk"), F.col("d").alias("xd"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"),
-    )
-    all_ = rows.select(
-        "key", F.col("id").alias("y"), F.col("root").alias("yr"), "main", F.col("keys").alias("yk"), F.col("d").alias("yd"),
-        F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part"),
-    )
-    met = out.join(all_, ["key", "part"]).where((F.col("xr") != F.col("yr")) & ((F.col("yr") == F.col("main")) | (F.col("x") < F.col("y"))))
-    if reach is not None:
-        met = met.where(F.coalesce(F.abs(F.col("xd") - F.col("yd")) <= reach + 1e-6, F.lit(True)))
-    # a pair counts under the first key it shares
-    met = met.where(F.array_position(F.zip_with("xk", "yk", lambda u, v: u == v), True) == F.col("band") + 1)
-    if fits is not None:
-        met = met.where(fits(F.col("xk"), F.col("yk")))
-    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return met.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    apart = (F.col("low") < F.col("high"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = rows.groupBy("key").agg(*apart[1:]).where(apart[0]).select("key")
+    rows = rows.join(mixed, "key").join(signed.select("id", "keys"), "id")
+    at = lambda r: F.get("keys", F.pmod(F.col("band") + r, F.lit(bands)))
+    each = [F.struct(F.xxhash64("key", F.lit(r), at(r)).alias("group"), at(r + 1).alias("second"), at(r + 2).alias("third")) for r in turns]
+    split = written(rows.select("id", "root", F.explode(F.array(*each)).alias("g")).select("id", "root", "g.*"), "groups")
+    groups = split.groupBy("group").agg(F.count("*").alias("n"), *apart[1:]).where(apart[0])
+    parts = groups.select("group", F.ceil(F.col("n") / part_rows).alias("parts"))
+    dealt = split.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+
+    def nearest(*order: Column) -> tuple[Column, Window]:
+        """Where a run of one class begins, the row before it; and the frame that carries it along the run."""
+        along = Window.partitionBy("group", "part").orderBy(*order)
+        changed = F.when(F.lag("root").over(along) != F.col("root"), F.lag("id").over(along))
+        return changed, along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    names = ("second", "third", "id")
+    for name, order in (("x", [F.asc(c) for c in names]), ("y", [F.desc(c) for c in names])):
+        changed, along = nearest(*order)
+        dealt = dealt.withColumn(f"{name}0", changed).withColumn(name, F.last(f"{name}0", True).over(along)).drop(f"{name}0")
+    met = dealt.select("id", F.explode(F.array_compact(F.array("x", "y"))).alias("other"))
+    met = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    met = met.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    if fits is None:
+        return met
+    one, two = (signed.select(F.col("id").alias(c), F.col("keys").alias(k)) for c, k in (("a", "u"), ("b", "v")))
+    return met.join(one, "a").join(two, "b").where(fits(F.col("u"), F.col("v"))).select("a", "b")
