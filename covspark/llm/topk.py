@@ -15,8 +15,10 @@ streams its annuli, of which ``streams`` tasks share each query block's. Nothing
 but the sample and the pivots, both of fixed size.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter
-vectors count as padded with zeros; rows equal in id and vector count once, and rows with the
-query's id are never its answers; null ids take no part. Ties go to the smaller id. Fewer rows than
+vectors count as padded with zeros; every row counts by itself, as a query and as an answer, also where
+it repeats another; rows with the query's id are never its answers; null ids take no part. Squared
+norms from 2^53 on are scored in 64-bit integers without bounds; from 2^62 on scores could leave them,
+and the search is refused with a ValueError. Ties go to the smaller id. Fewer rows than
 k give fewer ranks. An empty table has no answers. Other columns are ignored.
 """
 
@@ -68,6 +70,8 @@ class Space:
 
     def radius(self, norms: np.ndarray, score: np.ndarray) -> np.ndarray:
         """Distance at which a vector has just this score with a query of this squared norm."""
+        if self.exact is np.int64:  # doubles would round such scores, so nothing is ruled out
+            return np.full(len(norms), np.inf)
         return np.sqrt(np.maximum(norms + self.largest - 2 * score, 0.0)) * (1 + SLACK) + SLACK
 
 
@@ -110,7 +114,9 @@ def fit(vectors: DataFrame, s: Settings) -> Space | None:
     sample = np.zeros((len(rows), dim))
     for i, r in enumerate(rows):
         sample[i, : len(r.vec)] = r.vec
-    exact = np.float32 if largest < 2**24 else np.float64
+    if largest >= 2**62:
+        raise ValueError("components are too large: inner products could leave 64-bit integers")
+    exact = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else np.int64
     space = Space(dim, float(largest), np.zeros((0, dim + 1)), sample, np.array([r.vec_id for r in rows], np.int64), exact)
     x = space.lifted(sample)
     pivots = x[: s.pivots].copy()
@@ -186,7 +192,7 @@ def _reach(blocks: DataFrame, space: Space, k: int) -> DataFrame:
                 q = np.frombuffer(r["vecs"]).reshape(len(ids), sp.dim)
                 scores = np.where(ids[:, None] == sp.sample_ids, -np.inf, q @ sp.sample.T)
                 seed = np.full(len(ids), -np.inf)
-                if scores.shape[1] > k:
+                if scores.shape[1] > k and sp.exact is not np.int64:
                     seed = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
                 reach = sp.radius((q * q).sum(axis=1), seed)
                 d = _distances(sp.asked(q), sp.pivots)
@@ -232,9 +238,8 @@ def _search(stream: DataFrame, space: Space, k: int) -> DataFrame:
                 if not want.size:
                     continue
                 x = np.frombuffer(r["vecs"]).reshape(len(ids), sp.dim).astype(sp.exact)
-                scores = (q[want] @ x.T).astype(np.float64)
-                scores[own[want][:, None] == ids] = -np.inf
-                good = (scores >= least[want, None]) & (scores > -np.inf)
+                scores = (q[want] @ x.T).astype(np.int64)
+                good = (scores >= least[want, None]) & (own[want][:, None] != ids)
                 for i in np.flatnonzero(good.any(axis=1)):
                     w = want[i]
                     at = np.flatnonzero(good[i])
@@ -264,7 +269,7 @@ def search(
     """query_id, rank, vec_id, score: each query's ``s.k`` highest inner products; ``is_query`` is told from ``vec_id``."""
     spark = table.sparkSession
     rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), scaled(F.col(vector), scale).alias("vec"))
-    rows = written(rows.where(F.col("vec").isNotNull() & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id", "vec"]), "vectors")
+    rows = written(rows.where(F.col("vec").isNotNull() & F.col("vec_id").isNotNull()), "vectors")
     space = fit(rows, s)
     result = "query_id long, rank int, vec_id long, score long"
     if space is None:

@@ -8,15 +8,15 @@ SMALL = topk.Settings(k=5, pivots=4, sample=40, block=16, query_block=7, streams
 
 
 def brute(rows, k, every, scale=64.0):
-    good = {}
+    good = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            good[i, tuple(v)] = np.floor(scale * np.array(v, dtype=np.float64)).astype(np.int64)
+            good.append((i, [int(np.floor(scale * float(x))) for x in v]))
     out = []
-    for (i, _), q in good.items():
+    for i, q in good:
         if i % every:
             continue
-        scores = sorted((-int(sum(a * b for a, b in zip(q, x))), j) for (j, _), x in good.items() if j != i)[:k]
+        scores = sorted((-int(sum(a * b for a, b in zip(q, x))), j) for j, x in good if j != i)[:k]
         out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
     return sorted(out)
 
@@ -53,3 +53,19 @@ def test_bounds_pass_annuli_over():
     lifted = space.lifted(x)
     d = topk._distances(space.asked(x), lifted)[0, 1]
     assert np.isclose(space.radius(np.array([100.0]), np.array([6.0]))[0], d, rtol=1e-4)
+
+
+def test_every_row_counts(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [0.5, 0.5]), (3, [1.0, 1.0]), (3, [1.0, 1.0])]
+    got = run(spark, rows, SMALL)
+    assert got == brute(rows, 5, 3)
+    assert [r[2] for r in got if r[0] == 0] == [1, 1, 3, 3, 2]
+
+
+def test_large_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in r]) for i, r in enumerate(rng.normal(size=(60, 3)) * 6e6)]
+    rows += [(60 + i, [float(np.float32(x)) for x in r]) for i, r in enumerate(rng.normal(size=(20, 3)))]
+    assert run(spark, rows, SMALL) == brute(rows, 5, 3)
+    with pytest.raises(Exception, match="too large"):
+        run(spark, [(0, [1e18, 0.0]), (3, [1.0, 2.0])], SMALL)
