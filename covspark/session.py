@@ -28,9 +28,11 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared folder; a local one only if none is set."""
+    """A fresh folder below the cluster's shared folder. Without one, local mode gets its own and a cluster is refused."""
     root = spark.conf.get(SHARED, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SHARED} must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(SHARED, root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
