@@ -102,6 +102,12 @@ def _batches(rows: list, n: int = 64) -> Iterator[list]:
         yield rows[i : i + n]
 
 
+def _texts(column: pa.Array, n: int = 64) -> Iterator[list[str | None]]:
+    """A column's texts, a few at a time, so that a worker never holds a second copy of a batch."""
+    for i in range(0, len(column), n):
+        yield column.slice(i, n).to_pylist()
+
+
 def _scaled(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = tf.astype(np.float32) * idf
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
@@ -168,7 +174,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", settings: S
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(s.buckets, dtype=np.int64), 0
         for b in batches:
-            for texts in _batches(b.column(0).to_pylist()):
+            for texts in _texts(b.column(0)):
                 tf, _ = counts(texts, s)
                 df += (tf > 0).sum(axis=0)
                 n += len(texts)
@@ -196,7 +202,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", settings: S
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = [logits(texts, model)[0] for texts in _batches(b.column(0).to_pylist())]
+            z = [logits(texts, model)[0] for texts in _texts(b.column(0))]
             yield pa.RecordBatch.from_pydict({"z": np.concatenate(z).tolist() if z else [], "lang": b.column(1)})
 
     out = rows.where("holdout").select("text", "lang").mapInArrow(held, "z array<double>, lang string").collect()
@@ -226,7 +232,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_p
         for b in batches:
             langs: list[str] = []
             scores: list[float] = []
-            for texts in _batches(b.column(at).to_pylist()):
+            for texts in _texts(b.column(at)):
                 if not m.langs:
                     langs += [UNKNOWN] * len(texts)
                     scores += [0.0] * len(texts)
