@@ -9,9 +9,10 @@ copies stays together.
 
 Consistent weighted sampling draws ``rows`` x ``bands`` samples; two documents draw the same one
 with a probability that is their weighted Jaccard similarity. Runs of ``rows`` samples are keys;
-documents that share one are candidates (see ``candidates`` and ``crossed``), each pair is verified
+documents that share one are candidates (see ``candidates`` and ``rest``), each pair is verified
 by the weighted Jaccard similarity of the whole sets, and union-find over the verified links makes
-the classes. Pairs that are in one class by other links aren't compared.
+the classes. Pairs that are in one class by other links aren't compared, all others that share a key are,
+unless the weights in ``BINS`` ranges of shingles already show that they can't be similar enough.
 Documents with the same words are one from the start, by a 64-bit hash of the words.
 
 Defined results: a null text is in a class of its own; texts without words are copies of each other.
@@ -28,16 +29,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covspark.llm.candidates import candidates, crossed
+from covspark.llm.candidates import candidates, rest
 from covspark.llm.common import fresh, written
 from covspark.llm.components import components
 
 WORDS = 5
 BASE = 0x9E3779B97F4A7C15 | 1
-TURNS = ((1, 3, 5), (2, 4, 6))
+BINS = 64
 _U = np.uint64
 
 
@@ -220,17 +221,38 @@ def _signed(docs: DataFrame, weights: np.ndarray, s: Settings) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, id long, keys array<long>")
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """id and shingles (sorted 64-bit hashes as binary)."""
+def profile(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weight of a shingle multiset in each of ``BINS`` ranges of hashes. The smaller sides of two sum up to what they share, or more."""
+    w = weights[(h % _U(len(weights))).astype(np.int64)]
+    return np.bincount((h >> _U(58)).astype(np.int64), w, BINS).astype(np.float32)
+
+
+def within_reach(x: Column, y: Column, threshold: float) -> Column:
+    """False for two profiles whose sets have a similarity below the threshold, whatever they share; float rounding is allowed for."""
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda n, v: n + v)
+    shared = total(F.zip_with(x["profile"], y["profile"], lambda a, b: F.least(a, b)))
+    return shared * (1 + threshold) * 1.0001 >= (x["weight"] + y["weight"]) * threshold
+
+
+def _sets(texts: DataFrame, weights: np.ndarray) -> DataFrame:
+    """id, shingles (sorted 64-bit hashes as binary), their profile and its sum."""
+    said = texts.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 c = b.slice(at, 256)
-                sets = [shingle_hashes(t).tobytes() for t in c.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+                sets = [shingle_hashes(t) for t in c.column(1).to_pylist()]
+                bins = [profile(h, said.value) for h in sets]
+                columns = [
+                    c.column(0),
+                    pa.array([h.tobytes() for h in sets], pa.binary()),
+                    pa.array(bins, pa.list_(pa.float32())),
+                    pa.array([float(p.sum(dtype=np.float64)) for p in bins], pa.float64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "shingles", "profile", "weight"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, shingles binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, shingles binary, profile array<float>, weight double")
 
 
 def _compared(pairs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -266,20 +288,20 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s: Set
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(unique, "id")
     wanted = wanted.select("id", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h"))
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("id", "text")
-    sets = written(_sets(texts).dropDuplicates(["id"]), "sets")
+    sets = written(_sets(texts, weights).dropDuplicates(["id"]), "sets")
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     tried = written(_compared(pairs.join(one, "a").join(two, "b"), weights), "near")
     reached = F.col("similarity") >= s.threshold
     links = tried.where(reached).select("a", "b")
     roots = written(components(links), "roots")
-    for turns in TURNS:
-        others = written(crossed(ranked, unique, tried, roots, s.bands, turns), "pairs")
-        if others.isEmpty():
-            break
-        compared = written(_compared(others.join(one, "a").join(two, "b"), weights), "near")
-        more = compared.where(reached).select("a", "b")
-        tried = tried.unionByName(compared)
+    held = unique.select("id", "keys").join(sets.select("id", "profile", "weight"), "id")
+    near = lambda x, y: (
+        (F.least(x["weight"], y["weight"]) * 1.0001 >= F.greatest(x["weight"], y["weight"]) * s.threshold) & within_reach(x, y, s.threshold)
+    )
+    others = written(rest(ranked, held, tried, roots, s.bands, near), "pairs")
+    if not others.isEmpty():
+        more = written(_compared(others.join(one, "a").join(two, "b"), weights), "near").where(reached).select("a", "b")
         links = links.unionByName(more)
         roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
 

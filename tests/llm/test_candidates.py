@@ -2,7 +2,7 @@
 
 import random
 
-from covspark.llm import lines, neardup
+from covspark.llm import candidates, components, lines, neardup
 
 VOCABULARY = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "tu", "ser", "po") for b in ("ran", "del", "fo", "xi", "wu") for c in ("us", "em", "ost", "y", "ing")]
 
@@ -50,3 +50,28 @@ def test_documents_of_a_template(spark):
     place = {r.doc_id: r.class_id for r in neardup.classify(df).collect()}
     assert len(set(place.values())) > 50
     assert recall(links, place) >= 0.95
+
+
+def test_every_pair_of_a_shared_key(spark):
+    """Whatever the rounds before found, every pair of a shared key is either tried or in one class."""
+    rng = random.Random(3)
+    keys = {i: [7 if rng.random() < 0.6 else 100 + i, rng.randrange(40), *(rng.randrange(4) << 32 | i for _ in range(2))] for i in range(160)}
+    label = {i: rng.choice([0] * 6 + list(range(1, 40))) for i in keys}
+    signed = spark.createDataFrame(list(keys.items()), "id long, keys array<long>").repartition(3)
+    signed = signed.join(spark.createDataFrame(list(label.items()), "id long, label int"), "id")
+    pairs, ranked = candidates.candidates(signed.select("id", "keys"), 4)
+    tried = {(r.a, r.b) for r in pairs.collect()}
+    first = [i for i in keys if label[i] == 0][:12]
+    known = [p for p in tried if label[p[0]] == label[p[1]]] + list(zip(first, first[1:]))
+    roots = components.components(spark.createDataFrame(known, "a long, b long"))
+    root = {r.node: r.root for r in roots.collect()}
+    wanted = {
+        (a, b)
+        for a in keys
+        for b in range(a + 1, 160)
+        if any(x == y for x, y in zip(keys[a], keys[b])) and (a, b) not in tried and root.get(a, a) != root.get(b, b) and (label[a] + label[b]) % 3
+    }
+    assert len(wanted) > 1000 and max(list(root.values()).count(r) for r in root.values()) > 9
+    for block, part_rows in ((1024, 4096), (5, 3)):
+        got = candidates.rest(ranked, signed, pairs, roots, 4, lambda x, y: (x["label"] + y["label"]) % 3 != 0, block, part_rows).collect()
+        assert len(got) == len(wanted) and {(r.a, r.b) for r in got} == wanted
