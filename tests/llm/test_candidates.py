@@ -75,3 +75,28 @@ def test_every_pair_of_a_shared_key(spark):
     for block, part_rows in ((1024, 4096), (5, 3)):
         got = candidates.rest(ranked, signed, pairs, roots, 4, lambda x, y: (x["label"] + y["label"]) % 3 != 0, block, part_rows).collect()
         assert len(got) == len(wanted) and {(r.a, r.b) for r in got} == wanted
+
+
+def test_every_link_of_a_hot_key(spark):
+    """No link of two lines that share a key is lost, though most lines of the key are in other classes."""
+    texts = population(900, 30, 4, 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    s = lines.Settings()
+    signed = {r.id: r["keys"] for r in lines.distinct_lines(lines.occurrences(df, "doc_id", "text"), s).collect()}
+    found = lines.classify(df)
+    ids = {r.doc_id: r.id for r in lines.occurrences(df, "doc_id", "text").collect()}
+    cut = lambda k: [k >> 42, k >> 21 & lines.FIELD, k & lines.FIELD]
+    keys = [signed[ids[i]] for i in range(len(texts))]
+    components_of = [[c for k in row for c in cut(k)] for row in keys]
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in texts]
+    place = {r.doc_id: r.class_id for r in found.collect()}
+    links = [
+        (i, j)
+        for i, x in enumerate(sets)
+        for j, y in enumerate(sets[:i])
+        if len(x & y) >= 0.8 * len(x | y)
+        and any(a == b for a, b in zip(keys[i], keys[j]))
+        and sum(a == b for a, b in zip(components_of[i], components_of[j])) >= s.agree
+    ]
+    assert len(links) > 100 and len(set(place.values())) > 50
+    assert [p for p in links if place[p[0]] != place[p[1]]] == []
