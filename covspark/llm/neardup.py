@@ -9,7 +9,7 @@ copies stays together.
 
 Consistent weighted sampling draws ``rows`` x ``bands`` samples; two documents draw the same one
 with a probability that is their weighted Jaccard similarity. Runs of ``rows`` samples are keys;
-documents that share one are candidates (see ``candidates`` and ``rest``), each pair is verified
+documents that share one are candidates (see ``candidates``, ``rest`` and, for keys of many classes, ``prefixed``), each pair is verified
 by the weighted Jaccard similarity of the whole sets, and union-find over the verified links makes
 the classes. Pairs that are in one class by other links aren't compared, all others that share a key are,
 unless the weights in ``BINS`` ranges of shingles already show that they can't be similar enough.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covspark.llm.candidates import candidates, rest
+from covspark.llm.candidates import by_weight, candidates, prefixed, rest
 from covspark.llm.common import fresh, written
 from covspark.llm.components import components
 
@@ -44,13 +44,17 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    """At similarity 0.8 a pair shares a key with probability 0.995, at 0.9 with 0.99997."""
+    """At similarity 0.8 a pair shares a key with probability 0.995, at 0.9 with 0.99997.
+
+    Classes of a key of at most ``few`` meet one by one, those of other keys by their documents' rarest shingles.
+    """
 
     rows: int = 4
     bands: int = 10
     threshold: float = 0.8
     buckets: int = 1 << 16
     salts: int = 32
+    few: int = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -255,6 +259,21 @@ def _sets(texts: DataFrame, weights: np.ndarray) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, shingles binary, profile array<float>, weight double")
 
 
+def _elements(sets: DataFrame, weights: np.ndarray) -> DataFrame:
+    """id, name and weight of every distinct shingle of every set, written once."""
+    said = sets.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                h, n = counted(np.frombuffer(b.column(1)[i].as_buffer(), _U))
+                w = n * said.value[(h % _U(len(said.value))).astype(np.int64)].astype(np.float64)
+                columns = [pa.array(np.full(len(h), b.column(0)[i].as_py())), pa.array(h.view(np.int64)), pa.array(w)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "name", "weight"])
+
+    return written(sets.select("id", "shingles").mapInArrow(run, "id long, name long, weight double"), "elements")
+
+
 def _compared(pairs: DataFrame, weights: np.ndarray) -> DataFrame:
     """The similarity of pairs (a, b, x, y): a, b, similarity."""
     said = pairs.sparkSession.sparkContext.broadcast(weights)
@@ -299,7 +318,16 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s: Set
     near = lambda x, y: (
         (F.least(x["weight"], y["weight"]) * 1.0001 >= F.greatest(x["weight"], y["weight"]) * s.threshold) & within_reach(x, y, s.threshold)
     )
-    others = written(rest(ranked, held, tried, roots, s.bands, near), "pairs")
+    light, heavy = by_weight(ranked, roots, s.few)
+    others = rest(light, held, tried, roots, s.bands, near)
+    heavy = written(heavy, "heavy")
+    if not heavy.isEmpty():
+        met = prefixed(_elements(sets.join(heavy.select("id"), "id"), weights), heavy, s.threshold)
+        for at, row in (("a", "x"), ("b", "y")):
+            met = met.join(held.select(F.col("id").alias(at), F.struct("weight", "profile").alias(row)), at)
+        met = met.where(near(F.col("x"), F.col("y"))).select("a", "b").join(tried, ["a", "b"], "left_anti")
+        others = others.unionByName(met).distinct()
+    others = written(others, "pairs")
     if not others.isEmpty():
         more = written(_compared(others.join(one, "a").join(two, "b"), weights), "near").where(reached).select("a", "b")
         links = links.unionByName(more)

@@ -100,3 +100,41 @@ def test_every_link_of_a_hot_key(spark):
     ]
     assert len(links) > 100 and len(set(place.values())) > 50
     assert [p for p in links if place[p[0]] != place[p[1]]] == []
+
+
+def test_a_hot_key_of_rows_that_share_little(spark):
+    """Rows that have only a common passage in common don't meet one by one, and no similar pair among them is lost."""
+    rng = random.Random(5)
+    common = [(k, 1.0) for k in range(30)]
+    sets = {}
+    for i in range(400):
+        own = [(1000 + 100 * i + k, 1.0 + k % 3) for k in range(60)]
+        if i % 20 == 1:  # nearly the row before
+            own = sets[i - 1][30:90][: rng.randrange(48, 61)] + own[:4]
+        sets[i] = common + own
+
+    def similarity(x, y):
+        x, y = dict(x), dict(y)
+        both = sum(w for k, w in x.items() if k in y)
+        return both / (sum(x.values()) + sum(y.values()) - both)
+
+    wanted = {(i, j) for i in sets for j in range(i + 1, 400) if similarity(sets[i], sets[j]) >= 0.8}
+    assert len(wanted) > 10
+    elements = spark.createDataFrame([(i, k, w) for i, s in sets.items() for k, w in s], "id long, name long, weight double")
+    members = spark.createDataFrame([(i, i) for i in sets], "id long, root long")
+    for block, part_rows in ((1024, 4096), (5, 3)):
+        got = [(r.a, r.b) for r in candidates.prefixed(elements, members, 0.8, block, part_rows).collect()]
+        assert wanted <= set(got) and len(got) == len(set(got)) < 100
+    one = spark.createDataFrame([(i, i // 20) for i in sets], "id long, root long")
+    assert not wanted & {(r.a, r.b) for r in candidates.prefixed(elements, one, 0.8).collect()}
+
+
+def test_keys_of_many_classes_lose_no_link(spark):
+    """Documents of a template by their rarest shingles give the classes that all pairs give."""
+    texts = population(300, 110, 5, 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    apart = neardup.classify(df, s=neardup.Settings(few=10**6))
+    place = {r.doc_id: r.class_id for r in apart.collect()}
+    assert len(set(place.values())) > 50
+    found = {r.doc_id: r.class_id for r in neardup.classify(df, s=neardup.Settings(few=2)).collect()}
+    assert all(len({found[i] for i in place if place[i] == c}) == 1 for c in set(place.values()))
