@@ -138,3 +138,47 @@ def test_keys_of_many_classes_lose_no_link(spark):
     assert len(set(place.values())) > 50
     found = {r.doc_id: r.class_id for r in neardup.classify(df, s=neardup.Settings(few=2)).collect()}
     assert all(len({found[i] for i in place if place[i] == c}) == 1 for c in set(place.values()))
+
+
+def test_lines_of_common_words_move_few_rows(spark, monkeypatch):
+    """Lines that share a key only because a third of their words is common are told apart by their signatures, not by all their shingles."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4))
+    common = [word() for _ in range(12)]
+    texts = [" ".join(common[i // 3] if i % 3 == 0 else word() for i in range(36)) for _ in range(1200)]
+    rows = {}
+
+    def counted(df, purpose, written=candidates.written):
+        out = written(df, purpose)
+        rows[purpose] = rows.get(purpose, 0) + out.count()
+        return out
+
+    for module in (candidates, lines):
+        monkeypatch.setattr(module, "written", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = lines.classify(df)
+    assert len({r.class_id for r in found.collect()}) == 1200
+    # a row for each shingle of each of them would be 300 times as many
+    assert rows["heavy"] > 100 and sum(rows.get(x, 0) for x in ("elements", "shown", "prefixes")) < 20 * rows["heavy"]
+
+
+def test_narrowed_loses_no_pair(spark):
+    """Two rows of a key that agree in enough parts meet by another part, or both are left over."""
+    rng = random.Random(9)
+    base = [[rng.randrange(5) for _ in range(18)] for _ in range(12)]
+    parts = {}
+    for i in range(300):
+        row = [x if rng.random() < 0.75 else 1000 + rng.randrange(400) for x in base[i % 12]]
+        parts[i] = base[0][:3] + row[3:]
+    keys = {i: [r[k] << 42 | r[k + 1] << 21 | r[k + 2] for k in range(0, 18, 3)] for i, r in parts.items()}
+    held = spark.createDataFrame(list(keys.items()), "id long, keys array<long>")
+    roots = {i: i // 2 for i in keys}
+    heavy = spark.createDataFrame([(5, i, roots[i], 0) for i in keys], "key long, id long, root long, band int")
+    same = lambda i, j: sum(x == y for x, y in zip(parts[i], parts[j]))
+    wanted = {(i, j) for i in keys for j in range(i + 1, 300) if same(i, j) >= 9 and roots[i] != roots[j]}
+    fits = lambda x, y: lines.alike(x["keys"], y["keys"], 6) >= 9
+    for few in (4, 1000):
+        met, left = candidates.narrowed(heavy, held, lambda k: lines.components_of(k, 6), 3, 9, few, fits, slots=64)
+        got, over = {(r.a, r.b) for r in met.collect()}, {r.id for r in left.collect()}
+        assert got <= wanted and all(p in got or over >= set(p) for p in wanted)
+        assert len(wanted) > 500 and (got == wanted) == (few == 1000) and bool(over) == (few == 4)
