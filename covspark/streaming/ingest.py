@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -28,10 +29,15 @@ LANDED = (
 )
 RANGE = ("key", "start", "end")
 COMPLETE, LATE, INCOMPLETE = "complete", "late", "incomplete"
+_PENDING, _KNOWN = "pending", "known"
 ANSWERS = f"{LANDED}, status string"
 _STATE = "done bigint, arrival bigint, parts int, held array<int>, ids array<string>, texts array<string>"
+#: The state table of ``settled``: the last complete answer of each request and the parts so far of a newer one.
+REQUESTS = (
+    "key string, start date, end date, done bigint, arrival bigint, parts int, seen bigint, "
+    "held array<struct<part:int,request_id:string,response:string>>"
+)
 HOUR_MS = 3_600_000
-EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def read_landed(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -116,6 +122,65 @@ def settle(landed: DataFrame, patience_ms: int = HOUR_MS, forget_ms: int = 7 * 2
     return landed.groupBy(*RANGE).applyInPandasWithState(run, ANSWERS, _STATE, "append", "ProcessingTimeTimeout")
 
 
+def settled(batch: DataFrame, state: DataFrame, now_ms: int, patience_ms: int = HOUR_MS, forget_ms: int = 7 * 24 * HOUR_MS) -> tuple[DataFrame, DataFrame]:
+    """What ``settle`` gives for a batch of parts and a table of REQUESTS, and the table after it: a few windows instead of a call per request.
+
+    All windows lie within a request, so each part is moved once.
+    """
+    known = state.select(*RANGE, "done", F.col("arrival").alias("pending"), F.col("parts").alias("of"), "seen", "held")
+    held = known.select(*RANGE, F.col("pending").alias("arrival"), F.col("of").alias("parts"), F.inline("held")).withColumn("old", F.lit(True))
+    rows = batch.select(*RANGE, "arrival", "part", "parts", "request_id", "response").withColumn("old", F.lit(False))
+    rows = rows.unionByName(held).unionByName(known.drop("of", "held"), allowMissingColumns=True)
+    request = Window.partitionBy(*RANGE)
+    rows = rows.withColumns({c: F.max(c).over(request) for c in ("done", "pending", "seen")} | {"touched": F.max(~F.col("old")).over(request)})
+    stale = (F.col("arrival") <= F.coalesce("done", F.lit(-(2**63)))) | (F.col("arrival") < F.coalesce("pending", F.lit(-(2**63))))
+    # of a part that comes again the held one stays, then the largest text
+    order = [F.col("old").desc(), F.coalesce("response", F.lit("")).desc(), F.coalesce("request_id", F.lit("")).desc(), F.col("parts").desc()]
+    again = F.row_number().over(Window.partitionBy(*RANGE, "arrival", "part").orderBy(*order)) > 1
+    rows = rows.withColumns({"stale": stale, "again": again}).where(F.col("arrival").isNull() | F.col("stale") | ~F.col("again"))
+    fresh = F.col("arrival").isNotNull() & ~F.col("stale")
+    answer = Window.partitionBy(*RANGE, "arrival")
+    rows = rows.withColumns({"n": F.count_if(fresh).over(answer), "of": F.max(F.when(fresh, F.col("parts"))).over(answer)})
+    rows = rows.withColumn("best", F.max(F.when(fresh & (F.col("n") >= F.col("of")), F.col("arrival"))).over(request))
+    rows = rows.withColumn("last", F.max(F.when(fresh, F.col("arrival"))).over(request))
+    status = (
+        F.when(F.col("arrival").isNull(), _KNOWN)
+        .when(F.col("stale"), LATE)
+        .when(F.col("arrival") == F.col("best"), COMPLETE)
+        .when(F.col("arrival") == F.col("last"), _PENDING)
+        .otherwise(LATE)
+    )
+    rows = rows.withColumn("status", status).withColumn("parts", F.when(fresh, F.col("of")).otherwise(F.col("parts")))
+    rows = rows.withColumn("response", F.when(F.col("status").isin(COMPLETE, _PENDING), F.col("response")))
+    rows = rows.select(*[f.name for f in T.StructType.fromDDL(ANSWERS)], "done", "best", "seen", "touched")
+    path = shared_folder(batch.sparkSession, "answers")
+    rows.write.parquet(path)  # both results are read from it
+    rows = batch.sparkSession.read.schema(rows.schema).parquet(path)
+
+    pending = F.col("status") == _PENDING
+    part = F.struct("part", "request_id", "response")
+    after = rows.where(F.col("status") != LATE).withColumn("response", F.when(pending, F.col("response"))).groupBy(*RANGE).agg(
+        F.coalesce(F.max("best"), F.max("done")).alias("done"),
+        F.max(F.when(pending, F.col("arrival"))).alias("arrival"),
+        F.max(F.when(pending, F.col("parts"))).alias("parts"),
+        F.when(F.max("touched"), F.lit(now_ms)).otherwise(F.max("seen")).alias("seen"),
+        F.sort_array(F.collect_list(F.when(pending, part)), False).alias("held"),
+        F.coalesce(F.max("touched"), F.lit(False)).alias("touched"),
+    )
+    waits = F.when(F.col("arrival").isNull(), F.lit(forget_ms)).otherwise(F.lit(patience_ms))
+    after = after.withColumn("over", ~F.col("touched") & (F.col("seen") + waits <= now_ms))
+    given_up = after.where(F.col("over") & F.col("arrival").isNotNull()).select(
+        F.get("held", F.lit(0))["request_id"].alias("request_id"), *RANGE, "arrival", "parts", F.lit(INCOMPLETE).alias("status")
+    )
+    answers = rows.where(F.col("status").isin(COMPLETE, LATE)).drop("done", "best", "seen", "touched")
+    answers = answers.unionByName(given_up, allowMissingColumns=True)
+    after = after.where(~F.col("over") | (F.col("arrival").isNotNull() & F.col("done").isNotNull()))
+    cleared = {c: F.when(~F.col("over"), F.col(c)) for c in ("arrival", "parts")}
+    cleared |= {"held": F.when(F.col("over"), F.array().cast(after.schema["held"].dataType)).otherwise(F.col("held"))}
+    after = after.withColumns(cleared | {"seen": F.when(F.col("over"), F.lit(now_ms)).otherwise(F.col("seen"))})
+    return answers, after.select(*[f.name for f in T.StructType.fromDDL(REQUESTS)])
+
+
 def staged_rows(responses: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Normalised rows of classified responses with what each was asked for, written once.
 
@@ -194,38 +259,32 @@ def start(
     """Publish every request's newest complete answer.
 
     Late parts and incomplete answers land below ``unused``, one folder per micro-batch; without
-    it an incomplete answer stops the stream.
+    it an incomplete answer stops the stream. What is known of the requests lies in a table below the
+    checkpoint, which each batch writes anew: a repeated batch finds the table before it. Answers are
+    given up and requests forgotten with the next landed files.
     """
     if dataset.spec.time_field is None:
         raise ContractError("streamed ingest needs a dataset with a time field")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        # the batch is read several times, its state only once
-        path = f"{shared_folder(batch.sparkSession, 'answers')}"
-        batch.write.parquet(path)
-        settled = batch.sparkSession.read.schema(ANSWERS).parquet(path)
-        left = settled.where(F.col("status") != COMPLETE).drop("response")
+        spark = batch.sparkSession
+        slots = [f"{checkpoint}/requests/{n % 2}" for n in (batch_id - 1, batch_id)]
+        state = spark.read.schema(REQUESTS).parquet(slots[0]) if batch_id else spark.createDataFrame([], REQUESTS)
+        answers, state = settled(batch, state, int(time.time() * 1000), patience_ms, forget_ms)
+        left = answers.where(F.col("status") != COMPLETE).drop("response")
         if unused:
             left.write.mode("overwrite").parquet(f"{unused}/{sinks.BATCH}={batch_id}")
         else:
             validate.require_none(left.where(F.col("status") == INCOMPLETE), f"{dataset.spec.name}: incomplete answers")
-        whole = settled.where(F.col("status") == COMPLETE).drop("status")
+        whole = answers.where(F.col("status") == COMPLETE).drop("status")
         if not whole.isEmpty():
             publish_batch(whole, batch_id, dataset, stream_id, clock(), on_gap)
+        state.write.mode("overwrite").parquet(slots[1])
 
-    writer = (
-        settle(landed, patience_ms, forget_ms)
-        .writeStream.option("checkpointLocation", checkpoint)
+    return (
+        landed.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(run)
         .outputMode("append")
         .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
-    # with timers Spark would go on with empty batches for ever; so they go off with the next landed files.
-    # A query keeps the settings it was started with.
-    conf = landed.sparkSession.conf
-    before = conf.get(EMPTY_BATCHES)
-    conf.set(EMPTY_BATCHES, "false")
-    try:
-        return writer.start()
-    finally:
-        conf.set(EMPTY_BATCHES, before)

@@ -138,6 +138,68 @@ def test_settling_waits_for_parts_and_times_out(monkeypatch):
     assert next(settle(request, iter([]), state)).empty and state.value is None
 
 
+def test_requests_are_settled_by_tables(spark, root, monkeypatch):
+    """The same answers and state as ``settle`` over random batches with timeouts, without a Python call per request."""
+    import random
+
+    import pandas as pd
+
+    class Landed:
+        groupBy = lambda self, *names: self
+        applyInPandasWithState = lambda self, run, *_: run
+
+    rng = random.Random(6)
+    settle, states, due = ingest.settle(Landed(), 10, 99), {}, {}
+    state = spark.createDataFrame([], ingest.REQUESTS)
+    requests = [(k, d("07-13"), d("07-15")) for k in ("A", "B", "C", "D", "E", None)]
+    columns = ["request_id", "key", "start", "end", "response", "arrival", "part", "parts"]
+    seen = set()
+    for batch, now in enumerate((0, 5, 9, 16, 40, 41, 47, 160, 165)):
+        landed = []
+        for request in requests:
+            if rng.random() < 0.6:
+                for _ in range(rng.randint(1, 5)):
+                    arrival, of = rng.randint(1 + batch // 2, 4 + batch), rng.randint(1, 3)
+                    landed.append((f"r{rng.randint(0, 9)}", *request, rng.choice(["x", "y", None]), arrival, rng.randrange(of), of))
+        wanted = []
+        for request in requests:
+            own = pd.DataFrame([x for x in landed if x[1:4] == request], columns=columns, dtype=object)
+            held = states.setdefault(request, State())
+            held.hasTimedOut = own.empty
+            if own.empty and not (held.exists and due[request] <= now):
+                continue
+            wanted += pd.concat(list(settle(request, iter([] if own.empty else [own]), held)))[columns + ["status"]].values.tolist()
+            due[request] = now + held.timeout
+        answers, after = ingest.settled(spark.createDataFrame(landed, ingest.LANDED), state, now, 10, 99)
+        after.write.parquet(f"{root}/state-{batch}")
+        state = spark.read.parquet(f"{root}/state-{batch}")
+        plain = lambda x: None if x is None or x != x else x
+        # the id shown for an answer that was given up is that of any of its parts
+        key = lambda r: tuple(str(plain(x)) for x in r[(r[-1] == "incomplete") :])
+        assert sorted(map(key, ([r[c] for c in columns] + [r.status] for r in answers.collect()))) == sorted(map(key, wanted))
+        seen |= {r[-1] for r in wanted}
+        live = {x: s.value for x, s in states.items() if s.exists}
+        got = {(r.key, r.start, r.end): (r.done, r.arrival, r.parts, sorted(p.part for p in r.held)) for r in state.collect()}
+        assert got == {x: (v[0], v[1], v[2], sorted(v[3])) for x, v in live.items()}
+    assert seen == {"complete", "late", "incomplete"}
+
+
+def test_a_stream_settles_without_python(spark, root, monkeypatch):
+    """A call per request took most of the time of streams of many requests."""
+    import os
+
+    os.makedirs(f"{root}/landed")
+    monkeypatch.setattr(ingest, "settle", None)
+    dataset = Dataset(spark, f"{root}/data", INDEX_DAILY)
+    body = {"code": 0, "data": {"fields": INDEX_DAILY.columns, "items": [["A", "20260713", *["1"] * 9]]}}
+    for part, text in enumerate((body, {**body, "data": {**body["data"], "items": []}})):
+        with open(f"{root}/landed/{part}.json", "w") as f:
+            f.write(json.dumps({"request_id": "r", "key": "A", "start": "2026-07-13", "end": "2026-07-14", "arrival": 1, "part": part, "parts": 2, "response": json.dumps(text)}) + "\n")
+        ingest.start(ingest.read_landed(spark, f"{root}/landed", 1), dataset, f"{root}/state", "feed", lambda: NOW, unused=f"{root}/unused").awaitTermination()
+        assert (dataset.refresh().manifest is not None) == (part == 1)
+    assert dataset.scan().count() == 1
+
+
 def test_parts_over_batches_and_a_late_older_answer(spark, root):
     import os
 
